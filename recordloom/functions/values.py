@@ -58,7 +58,7 @@ def clean_category(value: Column, mapping: Mapping[str, str], blank: str | None
 def compose_code(department: Column, place: Column) -> Column:
     """Five-digit place code; a place code longer than three digits is already complete."""
     place_text, department_text = place.cast("string"), department.cast("string")
-    full = F.lpad(place_text, 5, "0")
+    full = F.lpad(place_text, F.greatest(F.lit(5), F.length(place_text)), F.lit("0"))
     joined = F.concat(F.lpad(department_text, 2, "0"), F.lpad(place_text, 3, "0"))
     return F.when(F.length(place_text) > 3, full).otherwise(joined)
 
