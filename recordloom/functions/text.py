@@ -10,19 +10,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _accent_table() -> tuple[str, str]:
-    """Accented Latin letters and their base letters, derived from Unicode."""
+def _letter_table() -> tuple[str, str]:
+    """Accented Latin letters and other spaces with their plain form, derived from Unicode.
+
+    Combining marks come last and have no plain form: ``translate`` deletes those.
+    """
     marked, plain = [], []
-    for code in range(0xC0, 0x250):
-        base = unicodedata.normalize("NFKD", chr(code))
-        letters = [c for c in base if not unicodedata.combining(c)]
-        if base != chr(code) and len(letters) == 1 and letters[0].isascii():
+    for code in [*range(0xA0, 0x250), *range(0x1E00, 0x1F00), *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000]:
+        base = [c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c)]
+        if len(base) == 1 and base[0].isascii():
             marked.append(chr(code))
-            plain.append(letters[0])
-    return "".join(marked), "".join(plain)
+            plain.append(base[0])
+    return "".join(marked + [chr(c) for c in range(0x300, 0x370)]), "".join(plain)
+
 
+MARKED, PLAIN = _letter_table()
 
-ACCENTED, UNACCENTED = _accent_table()
+# Every character that separates words, and those that are not the plain space.
+SPACES = r"\s\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 # Letters whose transliteration is longer than one letter or has no decomposition.
 LIGATURES = {
@@ -32,8 +37,8 @@ LIGATURES = {
 
 
 def strip_accents(text: Column) -> Column:
-    """Base letters only: combining marks go, accented Latin letters lose their accent."""
-    return F.translate(F.regexp_replace(text, r"\p{Mn}", ""), ACCENTED, UNACCENTED)
+    """Base letters only; text that is plain already is passed through."""
+    return F.when(text.rlike(r"[^\x00-\x7f]"), F.translate(text, MARKED, PLAIN)).otherwise(text)
 
 
 def to_ascii(text: Column) -> Column:
@@ -46,7 +51,7 @@ def to_ascii(text: Column) -> Column:
 
 def squeeze(text: Column) -> Column:
     """One space between words, none at the ends."""
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(text, rf"[{SPACES}]{{2,}}|[{SPACES}&&[^ ]]", " "))
 
 
 def text_key(text: Column) -> Column:

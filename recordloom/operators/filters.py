@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.operators.ranking import quantile_of, quantiles
+from recordloom.operators.ranking import quantiles, thresholds
 
 
 def without_pattern(df: DataFrame, columns: Sequence[str], pattern: str) -> DataFrame:
@@ -53,7 +53,7 @@ def null_rows(df: DataFrame, column: str, show: Sequence[str]) -> DataFrame:
 
 def trim_above(df: DataFrame, limits: Mapping[str, float]) -> DataFrame:
     """Rows at or below a quantile in each column; thresholds use the incoming rows, nulls are dropped."""
-    tests = [F.col(c) <= quantile_of(df, c, p) for c, p in limits.items()]
+    tests = [F.col(c) <= F.lit(edge) for c, edge in thresholds(df, limits).items()]
     return df.filter(reduce(lambda a, b: a & b, tests))
 
 

@@ -8,7 +8,7 @@ is a single cell, and no group ever has to fit into one task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,12 +22,21 @@ def running_total(
     """Add ``cum`` (inclusive running sum of ``amount``) and ``total`` per ``by``.
 
     ``by`` must hold no nulls and ``order_by`` must be a total order within ``by``.
-    The spread rows are settled once so that slice numbers never change.
+    The spread rows are settled once so that slice numbers never change; rows that
+    fit in one range, hence one file, need no slices at all.
     """
     keys = list(by)
     spread = settle(
         df.repartitionByRange(*[F.col(k) for k in keys], *order_by).withColumn("_slice", F.spark_partition_id())
     )
+    if len(spread.inputFiles()) <= 1:
+        whole = Window.partitionBy(*keys)
+        running = whole.orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
+        return spread.select(
+            *[c for c in spread.columns if c != "_slice"],
+            F.sum(amount).over(running).alias("cum"),
+            F.sum(amount).over(whole).alias("total"),
+        )
     parts = spread.groupBy(*keys, "_slice").agg(F.sum(amount).alias("_part"))
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.select(
@@ -68,9 +77,10 @@ def quantiles(
 
     Output: ``by``, ``column``, ``n`` and ``q0, q1, ...`` in the order of ``probs``.
     """
-    values = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
-    long = values.unpivot(list(by), list(columns), "column", "value")
-    keys = [*by, "column"]
+    keys = [*by, "_column"]
+    numbered = {str(i): F.col(c).cast("double") for i, c in enumerate(columns)}
+    values = df.select(*by, *[v.alias(i) for i, v in numbered.items()])
+    long = values.unpivot(list(by), list(numbered), "_column", "value").withColumn("_column", F.col("_column").cast("int"))
     ranked = running_total(value_cells(long, "value", keys), "n", [F.col("value")], keys)
     first, last = F.col("cum") - F.col("n"), F.col("cum")
 
@@ -87,7 +97,8 @@ def quantiles(
         position = (F.col("n") - 1) * F.lit(float(p))
         step = (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (position - F.floor(position))
         out.append((F.col(f"_lo{i}") + step).alias(f"q{i}"))
-    return picked.select(*keys, "n", *out)
+    name = F.array(*[F.lit(c) for c in columns])[F.col("_column")]
+    return picked.select(*by, name.alias("column"), "n", *out)
 
 
 def approx_quantiles(
@@ -101,9 +112,14 @@ def approx_quantiles(
     return found.select(*by, "column", "n", *[F.col("_q")[i].alias(f"q{i}") for i in range(len(probs))])
 
 
-def quantile_of(df: DataFrame, column: str, prob: float) -> Column:
-    """One exact quantile as a scalar subquery, usable in any filter over the same data."""
-    return quantiles(df, [column], [prob]).select("q0").scalar()
+def thresholds(df: DataFrame, limits: Mapping[str, float]) -> dict[str, float | None]:
+    """One exact quantile per column, brought to the driver as plain numbers.
+
+    Filters on a number are pushed into the scan and skip whole row groups.
+    """
+    probs = sorted(set(limits.values()))
+    found = {row["column"]: row for row in quantiles(df, list(limits), probs).collect()}
+    return {c: found[c][f"q{probs.index(p)}"] if c in found else None for c, p in limits.items()}
 
 
 def top_n(df: DataFrame, n: int, order_by: Sequence[Column]) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recordloom.session import settle
+
 
 def natural_key(columns: Sequence[str]) -> Column:
     """Surrogate key computed from the natural key alone, so facts need no join to get it."""
@@ -16,13 +18,23 @@ def natural_key(columns: Sequence[str]) -> Column:
 def build_star(
     df: DataFrame, dimensions: Mapping[str, Sequence[str]], measures: Sequence[str]
 ) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """Fact with one key per dimension and the measures, and the distinct rows of each dimension."""
-    keys = {name: f"{name}_key" for name in dimensions}
-    fact = df.select(*[natural_key(columns).alias(keys[name]) for name, columns in dimensions.items()], *measures)
-    tables = {
-        name: df.select(natural_key(columns).alias(keys[name]), *columns).distinct()
-        for name, columns in dimensions.items()
-    }
+    """Fact with one key per dimension and the measures, and the distinct rows of each dimension.
+
+    All dimensions come out of one pass over the rows as grouping sets.  They are
+    settled, so that joins back to the fact are planned by their true size.
+    """
+    keys = {name: natural_key(columns).alias(f"{name}_key") for name, columns in dimensions.items()}
+    fact = df.select(*keys.values(), *measures)
+    every = list(dict.fromkeys(c for columns in dimensions.values() for c in columns))
+    sets = settle(
+        df.groupingSets([list(columns) for columns in dimensions.values()], *every).agg(
+            F.grouping_id(*every).alias("_set")
+        )
+    )
+    tables = {}
+    for name, columns in dimensions.items():
+        mark = sum(1 << (len(every) - 1 - i) for i, c in enumerate(every) if c not in columns)
+        tables[name] = sets.filter(F.col("_set") == mark).select(keys[name], *columns)
     return fact, tables
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from recordloom.functions.pvalues import chi2_tail, f_tail
 from recordloom.operators.frequency import only_top, present, regroup
 from recordloom.operators.ranking import average_ranks, running_total, value_cells
+from recordloom.session import settle
 
 
 def pearson(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -42,19 +43,22 @@ def strongest_pairs(df: DataFrame, columns: Sequence[str], k: int = 5) -> DataFr
 
 
 def _pair_cells(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """Row counts ``n`` per pair name ``_pair`` and pair of values ``a``, ``b``, nulls skipped."""
+    """Row counts ``n`` per pair number ``_pair`` and pair of values ``a``, ``b``, nulls skipped.
+
+    The cells are settled: ranks and sums read them several times.
+    """
     pairs = [
-        F.struct(
-            F.lit(f"{x}|{y}").alias("_pair"), F.col(x).cast("double").alias("a"), F.col(y).cast("double").alias("b")
-        )
-        for x, y in combinations(columns, 2)
+        F.struct(F.lit(i).alias("_pair"), F.col(x).cast("double").alias("a"), F.col(y).cast("double").alias("b"))
+        for i, (x, y) in enumerate(combinations(columns, 2))
     ]
     long = present(df, *by).select(*by, F.inline(F.array(*pairs)))
-    return present(long, "a", "b").groupBy(*by, "_pair", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    return settle(present(long, "a", "b").groupBy(*by, "_pair", "a", "b").agg(F.count(F.lit(1)).alias("n")))
 
 
-def _name_pairs(df: DataFrame, by: Sequence[str]) -> DataFrame:
-    sides = F.split("_pair", r"\|")
+def _name_pairs(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """Replace the pair number by the names of both columns."""
+    names = list(zip(*combinations(columns, 2)))
+    sides = [F.array(*[F.lit(c) for c in side])[F.col("_pair")] for side in names]
     return df.select(*by, sides[0].alias("left_column"), sides[1].alias("right_column"), "corr")
 
 
@@ -74,7 +78,7 @@ def spearman(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> D
         F.sum(n * x * y).alias("xy"), F.sum(n * x * x).alias("xx"), F.sum(n * y * y).alias("yy")
     )
     corr = F.try_divide(F.col("xy"), F.sqrt(F.col("xx")) * F.sqrt(F.col("yy")))
-    return _name_pairs(sums.withColumn("corr", corr), by)
+    return _name_pairs(sums.withColumn("corr", corr), columns, by)
 
 
 def kendall(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -118,7 +122,7 @@ def kendall(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> Da
     untied = F.col("ties_") - F.col("ties_a") - F.col("ties_b") + F.col("ties_ab")
     scale = F.sqrt(F.col("ties_") - F.col("ties_a")) * F.sqrt(F.col("ties_") - F.col("ties_b"))
     corr = F.try_divide(2 * F.col("concordant") - untied, scale)
-    return _name_pairs(sums.withColumn("corr", corr), by)
+    return _name_pairs(sums.withColumn("corr", corr), columns, by)
 
 
 def linear_trend(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from recordloom.functions.values import percent
 from recordloom.operators.filters import trim_above
 from recordloom.operators.frequency import only_top, present
-from recordloom.operators.ranking import quantiles
+from recordloom.operators.ranking import quantiles, thresholds
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -78,7 +78,7 @@ def measure_summary(df: DataFrame, column: str) -> DataFrame:
     basics = df.agg(
         F.count(column).alias("n"), F.sum(column).alias("sum"), F.avg(column).alias("mean"), F.max(column).alias("max")
     )
-    return basics.withColumn("median", quantiles(df, [column], [0.5]).select("q0").scalar())
+    return basics.withColumn("median", F.lit(thresholds(df, {column: 0.5})[column]).cast("double"))
 
 
 def group_stats(df: DataFrame, by: Sequence[str], column: str) -> DataFrame:

@@ -15,7 +15,7 @@ from recordloom.operators.frequency import counts
 from recordloom.plans import model
 from recordloom.plans.profiling import rounded
 from recordloom.plans.registry import query
-from recordloom.session import scratch_path
+from recordloom.session import scratch_path, settle
 from recordloom.sources import files, grid
 from recordloom.sources.files import table
 
@@ -33,7 +33,7 @@ SHEETS_SQL = WITH_FACT + """, sheets AS (SELECT 'sheet_' || year || '_' || offen
 
 
 def sheets(spark, folder):
-    """Grid of all sheets; positions order the lines, they are not line numbers."""
+    """Grid of all sheets, landed once; positions order the lines, they are not line numbers."""
     name = F.concat(F.lit("sheet_"), F.col("year").cast("string"), F.lit("_"), F.col("offence"), F.lit(".csv"))
     rows = model.fact(spark, folder).withColumn("file", name)
     even = F.col("year") % 2 == 0
@@ -65,7 +65,7 @@ def sheets(spark, folder):
     bottom = every.select("file", "_last", F.posexplode(foot).alias("_i", "cells")).select(
         "file", (F.col("_last") + DATA_START + 1 + F.col("_i")).alias("pos"), "cells"
     )
-    return top.unionByName(data).unionByName(bottom)
+    return settle(top.unionByName(data).unionByName(bottom))
 
 
 @query(

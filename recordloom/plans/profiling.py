@@ -76,40 +76,40 @@ def group_size(spark, folder):
 @query(
     "group_stats",
     WITH_LINES
-    + """ SELECT age_group, count(price) AS count, round(avg(price), 4) AS mean, round(median(price), 4) AS median,
-        round(stddev_samp(price), 4) AS std, min(price) AS min, max(price) AS max, round(sum(price), 2) AS sum
+    + """ SELECT age_group, count(price) AS count, round(avg(price), 6) AS mean, round(median(price), 6) AS median,
+        round(stddev_samp(price), 6) AS std, min(price) AS min, max(price) AS max, round(sum(price), 2) AS sum
         FROM lines GROUP BY 1 ORDER BY mean DESC LIMIT 15""",
 )
 def group_stats(spark, folder):
     stats = summary.group_stats(model.lines(spark, folder), ["age_group"], "price")
     top = stats.orderBy(F.desc("mean"), "age_group").limit(15)
-    return rounded(rounded(top, "mean", "median", "std"), "sum", digits=2)
+    return rounded(rounded(top, "mean", "median", "std", digits=6), "sum", digits=2)
 
 
 @query(
     "group_stats_place",
     WITH_FACT
-    + """ SELECT municipality, count(amount) AS count, round(avg(amount), 4) AS mean, round(median(amount), 4) AS median,
-        round(stddev_samp(amount), 4) AS std, min(amount) AS min, max(amount) AS max, round(sum(amount), 2) AS sum
+    + """ SELECT municipality, count(amount) AS count, round(avg(amount), 6) AS mean, round(median(amount), 6) AS median,
+        round(stddev_samp(amount), 6) AS std, min(amount) AS min, max(amount) AS max, round(sum(amount), 2) AS sum
         FROM fact GROUP BY 1 ORDER BY sum(amount) DESC LIMIT 15""",
 )
 def group_stats_place(spark, folder):
     stats = summary.group_stats(model.fact(spark, folder), ["municipality"], "amount")
     top = stats.orderBy(F.desc("sum"), "municipality").limit(15)
-    return rounded(rounded(top, "mean", "median", "std"), "sum", digits=2)
+    return rounded(rounded(top, "mean", "median", "std", digits=6), "sum", digits=2)
 
 
 @query(
     "mean_sum_by_year",
     WITH_RECORDS
-    + """ SELECT offence, year, round(avg(amount), 4) AS mean, round(sum(amount), 2) AS sum FROM records WHERE offence IN
+    + """ SELECT offence, year, round(avg(amount), 6) AS mean, round(sum(amount), 2) AS sum FROM records WHERE offence IN
         (SELECT offence FROM records GROUP BY 1 ORDER BY count(*) DESC, offence LIMIT 3) GROUP BY ALL""",
 )
 def mean_sum_by_year(spark, folder):
     rows = model.records(spark, folder).select("offence", "year", "amount")
     kept = frequency.only_top(rows, counts(rows, "offence"), "offence", 3)
     yearly = kept.groupBy("offence", "year").agg(F.avg("amount").alias("mean"), F.sum("amount").alias("sum"))
-    return rounded(rounded(yearly, "mean"), "sum", digits=2)
+    return rounded(rounded(yearly, "mean", digits=6), "sum", digits=2)
 
 
 def _describe_sql(column: str) -> str:

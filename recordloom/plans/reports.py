@@ -10,7 +10,6 @@ from recordloom.operators.frequency import counts
 from recordloom.plans import model
 from recordloom.plans.profiling import rounded
 from recordloom.plans.registry import query
-from recordloom.session import settle
 from recordloom.sources.files import table
 
 WITH_FACT = "WITH " + model.FACT_SQL
@@ -97,8 +96,8 @@ def executive_summary(spark, folder):
         F.col("column").alias("metric"), "distinct_values", F.col("mode").alias("label"),
         F.col("mode_n").cast("double").alias("value"), F.round("mode_pct", 4).alias("pct"),
     )
-    rows = model.fact(spark, folder)
-    middle = ranking.quantiles(rows, ["amount"], [0.5]).select("q0").scalar()
+    rows = model.records(spark, folder)
+    middle = F.lit(ranking.thresholds(rows, {"amount": 0.5})["amount"])
     years = F.concat(F.min("year").cast("string"), F.lit(" - "), F.max("year").cast("string"))
     none, number = F.lit(None).cast("string"), F.lit(None).cast("long")
 
@@ -175,12 +174,12 @@ def victim_profile(spark, folder):
 @query(
     "box_year_summary",
     WITH_FACT
-    + """ SELECT year, count(amount) AS count, round(avg(amount), 4) AS mean, round(median(amount), 4) AS median,
-        round(stddev_samp(amount), 4) AS std, min(amount) AS min, max(amount) AS max, round(sum(amount), 2) AS sum FROM fact GROUP BY 1""",
+    + """ SELECT year, count(amount) AS count, round(avg(amount), 6) AS mean, round(median(amount), 6) AS median,
+        round(stddev_samp(amount), 6) AS std, min(amount) AS min, max(amount) AS max, round(sum(amount), 2) AS sum FROM fact GROUP BY 1""",
 )
 def box_year_summary(spark, folder):
     stats = summary.group_stats(model.records(spark, folder), ["year"], "amount")
-    return rounded(rounded(stats, "mean", "median", "std"), "sum", digits=2)
+    return rounded(rounded(stats, "mean", "median", "std", digits=6), "sum", digits=2)
 
 
 @query(
@@ -204,7 +203,7 @@ def star_schema(spark, folder):
         ["record_id", "amount"],
     )
     for name in ("time", "place", "victim", "offence"):
-        facts = facts.join(settle(dims[name]), f"{name}_key")
+        facts = facts.join(dims[name], f"{name}_key")
     grouped = facts.groupBy("year", "month", "department", "offence", "gender").agg(
         F.count(F.lit(1)).alias("n"), F.sum("amount").alias("amount")
     )

@@ -6,7 +6,7 @@ import datetime
 import math
 from decimal import Decimal
 
-from recordloom.sources.files import TABLES
+from recordloom.sources.files import SCHEMAS
 
 
 def oracle_connection(folder: str):
@@ -14,11 +14,17 @@ def oracle_connection(folder: str):
 
     con = duckdb.connect()
     con.execute("SET TimeZone = 'UTC'")
-    for name in TABLES:
+    for name in SCHEMAS:
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
     return con
 
 
+DUCK_TYPES = {
+    "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+    "date": "DATE", "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN",
+}
+
+
 def _plain(value):
     if isinstance(value, float) and math.isnan(value):
         return None
@@ -33,10 +39,6 @@ def _plain(value):
     return value
 
 
-def _kind(value):
-    return type(value).__name__
-
-
 def _rows(names, rows):
     order = sorted(range(len(names)), key=lambda i: names[i])
     out = [tuple(_plain(r[i]) for i in order) for r in rows]
@@ -53,14 +55,10 @@ def differences(df, con, sql: str, show: int = 3) -> list[str]:
         return [f"columns {sorted(df.columns)} / {sorted(names)}"]
     if len(spark_rows) != len(duck_rows):
         return [f"rows {len(spark_rows)} / {len(duck_rows)}", str(spark_rows[:show]), str(duck_rows[:show])]
-    kinds = lambda rows, cols: {
-        c: sorted({_kind(r[i]) for r in rows if r[i] is not None}) for i, c in enumerate(cols)
-    }
-    found = []
-    ks, kd = kinds(spark_rows, df.columns), kinds(duck_rows, names)
-    for column in ks:
-        if ks[column] != kd[column]:
-            found.append(f"type of {column}: {ks[column]} / {kd[column]}")
+    spark_types = {name: DUCK_TYPES.get(kind, kind) for name, kind in df.dtypes}
+    found = [
+        f"type of {d[0]}: {spark_types[d[0]]} / {d[1]}" for d in result.description if spark_types[d[0]] != str(d[1])
+    ]
     a, b = _rows(df.columns, spark_rows), _rows(names, duck_rows)
     unequal = [(x, y) for x, y in zip(a, b) if x != y]
     if unequal:
