@@ -26,8 +26,7 @@ def _letter_table() -> tuple[str, str]:
 
 MARKED, PLAIN = _letter_table()
 
-# Every character that separates words, and those that are not the plain space.
-SPACES = r"\s\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+ODD_SPACES = "\u0085\u00a0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(chr(c) for c in range(0x2000, 0x200B))
 
 # Letters whose transliteration is longer than one letter or has no decomposition.
 LIGATURES = {
@@ -50,13 +49,18 @@ def to_ascii(text: Column) -> Column:
 
 
 def squeeze(text: Column) -> Column:
-    """One space between words, none at the ends."""
-    return F.trim(F.regexp_replace(text, rf"[{SPACES}]{{2,}}|[{SPACES}&&[^ ]]", " "))
+    """One space between words, none at the ends; every kind of space counts."""
+    plain = F.when(text.rlike(r"[^\x00-\x7f]"), F.translate(text, ODD_SPACES, " " * len(ODD_SPACES))).otherwise(text)
+    return _squeeze_ascii(plain)
+
+
+def _squeeze_ascii(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, r"[\t-\r\x1c-\x1f][\t-\r\x1c-\x1f ]*| [\t-\r\x1c-\x1f ]+", " "))
 
 
 def text_key(text: Column) -> Column:
     """Comparison key: null to empty, upper case, ASCII, single spaces."""
-    return squeeze(to_ascii(F.upper(F.coalesce(text, F.lit("")))))
+    return _squeeze_ascii(to_ascii(F.upper(F.coalesce(text, F.lit("")))))
 
 
 def text_key_words(text: Column) -> Column:

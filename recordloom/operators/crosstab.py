@@ -26,8 +26,8 @@ def crosstab_margins(df: DataFrame, row: str, column: str, label: str = "All") -
         F.sum("n").alias("n"), F.grouping(row).alias("_row"), F.grouping(column).alias("_column")
     )
     return cubed.select(
-        F.when(F.col("_row") == 1, F.lit(label)).otherwise(F.col(row)).alias(row),
-        F.when(F.col("_column") == 1, F.lit(label)).otherwise(F.col(column)).alias(column),
+        F.when(F.col("_row") == 1, F.lit(label)).otherwise(F.col(row).cast("string")).alias(row),
+        F.when(F.col("_column") == 1, F.lit(label)).otherwise(F.col(column).cast("string")).alias(column),
         "n",
     )
 

@@ -62,6 +62,17 @@ def _name_pairs(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> Dat
     return df.select(*by, sides[0].alias("left_column"), sides[1].alias("right_column"), "corr")
 
 
+def _fewer_values_last(cells: DataFrame) -> DataFrame:
+    """Put the side with fewer values into ``b``, pair by pair; one row per pair reaches the driver."""
+    wide = F.approx_count_distinct("b") > F.approx_count_distinct("a")
+    turned = [row["_pair"] for row in cells.groupBy("_pair").agg(wide.alias("wide")).collect() if row["wide"]]
+    turn = F.col("_pair").isin(turned)
+    others = [c for c in cells.columns if c not in ("a", "b")]
+    return cells.select(
+        *others, F.when(turn, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turn, F.col("a")).otherwise(F.col("b")).alias("b")
+    )
+
+
 def spearman(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Spearman correlation of every column pair with average ranks on ties."""
     keys = [*by, "_pair"]
@@ -90,7 +101,7 @@ def kendall(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> Da
     every cell with digit one meets the running count of cells with digit zero.
     """
     keys = [*by, "_pair"]
-    cells = _pair_cells(df, columns, by)
+    cells = _fewer_values_last(_pair_cells(df, columns, by))
     lows = cells.groupBy(*keys, "b").agg(F.sum("n").alias("nb")).withColumn("_one", F.lit(1))
     ranked = running_total(lows, "_one", [F.col("b")], keys)
     ranked = ranked.select(
