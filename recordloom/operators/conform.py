@@ -104,6 +104,17 @@ def set_where(df: DataFrame, column: str, mask: Column, value: Column) -> DataFr
     return df.withColumn(column, F.when(mask, value).otherwise(F.col(column)))
 
 
+def replace_pairs(df: DataFrame, left: str, right: str, pairs: Iterable[tuple[str, str, str, str]]) -> DataFrame:
+    """Replace listed value pairs of two columns by another pair; homonyms under other keys stay."""
+    fixes = [
+        F.when((F.col(left) == a) & (F.col(right) == b), F.struct(F.lit(c).alias("l"), F.lit(d).alias("r")))
+        for a, b, c, d in pairs
+    ]
+    fix = F.coalesce(*fixes)
+    new = {left: F.coalesce(fix["l"], F.col(left)), right: F.coalesce(fix["r"], F.col(right))}
+    return df.select(*[new[c].alias(c) if c in new else F.col(c) for c in df.columns])
+
+
 def stack_by_name(frames: Sequence[DataFrame]) -> DataFrame:
     """Union by column name; a column a frame lacks is null there."""
     stacked = frames[0]

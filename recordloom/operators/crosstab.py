@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.functions.values import percent
-from recordloom.operators.frequency import counts, counts_with_nulls, only_top, present, regroup
+from recordloom.operators.frequency import counts, only_top, present, regroup
 
 
 def crosstab(df: DataFrame, row: str, column: str, values: Sequence[str] | None = None) -> DataFrame:
@@ -33,12 +33,12 @@ def crosstab_margins(df: DataFrame, row: str, column: str, label: str = "All") -
 
 
 def row_percent(cells: DataFrame, row: str, column: str) -> DataFrame:
-    """Share of each cell in its row, in percent."""
+    """Share of each cell of a tally in its row, in percent; null keys are left out."""
+    cells = present(cells, row, column)
     sizes = regroup(cells, row).withColumnRenamed("n", "row_n")
     return cells.join(sizes, row).select(row, column, "n", percent(F.col("n"), F.col("row_n")).alias("pct"))
 
 
-def top_crosstab(df: DataFrame, row: str, column: str, rows: int, columns: int) -> DataFrame:
-    """Counts of the most frequent rows against the most frequent columns."""
-    cells = counts_with_nulls(df, row, column)
+def top_crosstab(cells: DataFrame, row: str, column: str, rows: int, columns: int) -> DataFrame:
+    """Counts of the most frequent rows of a tally against its most frequent columns."""
     return present(only_top(only_top(cells, cells, row, rows), cells, column, columns), row, column)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.operators.ranking import quantiles, thresholds
+from recordloom.session import settle
 
 
 def without_pattern(df: DataFrame, columns: Sequence[str], pattern: str) -> DataFrame:
@@ -59,7 +60,7 @@ def trim_above(df: DataFrame, limits: Mapping[str, float]) -> DataFrame:
 
 def trim_above_by(df: DataFrame, by: Sequence[str], column: str, prob: float) -> DataFrame:
     """Rows at or below their own group's quantile."""
-    limits = quantiles(df, [column], [prob], by).select(*by, F.col("q0").alias("_limit"))
+    limits = settle(quantiles(df, [column], [prob], by).select(*by, F.col("q0").alias("_limit")))
     return df.join(limits, list(by)).filter(F.col(column) <= F.col("_limit")).drop("_limit")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from recordloom.functions.values import percent
 from recordloom.operators.ranking import running_total, top_n, top_per_group
+from recordloom.session import settle
 
 
 def present(df: DataFrame, *columns: str) -> DataFrame:
@@ -28,6 +29,14 @@ def counts_with_nulls(df: DataFrame, *columns: str, n: str = "n") -> DataFrame:
     return df.groupBy(*columns).agg(F.count(F.lit(1)).alias(n))
 
 
+def tally(df: DataFrame, *columns: str) -> DataFrame:
+    """Counts per combination, nulls included, computed once and settled.
+
+    Reports look at the same counts several times; only this step reads the rows.
+    """
+    return settle(counts_with_nulls(df, *columns))
+
+
 def regroup(cells: DataFrame, *columns: str) -> DataFrame:
     """Counts of fewer columns out of finer counts, null groups left out."""
     return present(cells, *columns).groupBy(*columns).agg(F.sum("n").alias("n"))
@@ -55,7 +64,7 @@ def only_top(df: DataFrame, cells: DataFrame, column: str, n: int) -> DataFrame:
 
 def frequency_table(df: DataFrame, column: str, digits: int = 2) -> DataFrame:
     """Counts, percent of all rows (null rows included) and cumulative percent, largest first."""
-    cells = counts_with_nulls(df, column)
+    cells = tally(df, column)
     whole = total_of(cells)
     ordered = running_total(present(cells, column), "n", biggest_first(column))
     return ordered.select(
@@ -66,25 +75,23 @@ def frequency_table(df: DataFrame, column: str, digits: int = 2) -> DataFrame:
     )
 
 
-def top_with_share(df: DataFrame, column: str, n: int) -> DataFrame:
-    """Most frequent values with their percent of all non-null rows."""
-    cells = counts(df, column)
-    return top_values(cells, column, n).select(column, "n", percent(F.col("n"), total_of(cells)).alias("pct"))
+def top_with_share(cells: DataFrame, column: str, n: int) -> DataFrame:
+    """Most frequent values of a tally with their percent of all non-null rows."""
+    whole = total_of(present(cells, column))
+    return top_values(cells, column, n).select(column, "n", percent(F.col("n"), whole).alias("pct"))
 
 
-def top_and_rest(df: DataFrame, column: str, n: int, rest: str = "OTROS") -> DataFrame:
-    """The ``n`` most frequent values plus one row that adds up the others."""
-    cells = counts(df, column)
-    marked = cells.join(
+def top_and_rest(cells: DataFrame, column: str, n: int, rest: str = "OTROS") -> DataFrame:
+    """The ``n`` most frequent values of a tally plus one row that adds up the others."""
+    marked = present(cells, column).join(
         F.broadcast(top_values(cells, column, n).select(column, F.lit(True).alias("_top"))), column, "left"
     )
     label = F.when(F.col("_top"), F.col(column)).otherwise(F.lit(rest))
     return marked.groupBy(label.alias(column)).agg(F.sum("n").alias("n"))
 
 
-def top_share(df: DataFrame, column: str, k: int) -> DataFrame:
-    """Share of all rows that falls in the ``k`` most frequent values."""
-    cells = counts_with_nulls(df, column)
+def top_share(cells: DataFrame, column: str, k: int) -> DataFrame:
+    """Share of all rows of a tally that falls in the ``k`` most frequent values."""
     top = top_values(cells, column, k).agg(F.sum("n").alias("top_n"))
     return top.select("top_n", total_of(cells).alias("total")).withColumn(
         "pct", percent(F.col("top_n"), F.col("total"))
@@ -129,13 +136,13 @@ def modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def top_k_per_group(df: DataFrame, group: str, item: str, k: int, groups: int | None = None) -> DataFrame:
-    """The ``k`` most frequent items of every group with their share of the group's rows.
+def top_k_per_group(cells: DataFrame, group: str, item: str, k: int, groups: int | None = None) -> DataFrame:
+    """The ``k`` most frequent items of every group of a tally with their share of the group's rows.
 
     ``groups`` keeps only the most frequent groups.  Rows with a null item count
     towards the group but are never listed.
     """
-    cells = counts_with_nulls(present(df, group), group, item)
+    cells = present(cells, group)
     if groups:
         cells = only_top(cells, cells, group, groups)
     sizes = regroup(cells, group).withColumnRenamed("n", "group_n")
@@ -145,9 +152,8 @@ def top_k_per_group(df: DataFrame, group: str, item: str, k: int, groups: int |
     )
 
 
-def top_by_period(df: DataFrame, column: str, period: str, n: int) -> DataFrame:
-    """Yearly counts of the ``n`` values that are most frequent overall."""
-    cells = counts_with_nulls(df, column, period)
+def top_by_period(cells: DataFrame, column: str, period: str, n: int) -> DataFrame:
+    """Counts per period of the ``n`` values of a tally that are most frequent overall."""
     return present(only_top(cells, cells, column, n), period)
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from recordloom.operators.ranking import first_per_key
+from recordloom.session import settle
 
 
 def attach(df: DataFrame, reference: DataFrame, on: Mapping[str, str], indicator: str | None = None) -> DataFrame:
@@ -130,7 +131,11 @@ def close_names(names: DataFrame, reference: DataFrame, name: str, ref: str, cut
         )
         .distinct()
     )
-    pairs = probes.join(segments, ["ref_len", "name_len", "part", "piece"]).select("name", "match").distinct()
+    # Candidates beyond the budget fall away inside the join, before anything is shuffled again.
+    budget = _edit_budget(method, cutoff, F.col("ref_len"), F.col("name_len"))
+    near = F.call_function("levenshtein", F.col("name"), F.col("match"), budget) >= 0
+    joined = probes.join(segments, ["ref_len", "name_len", "part", "piece"]).filter(near)
+    pairs = joined.select("name", "match").distinct()
     score = edit_similarity(F.col("name"), F.col("match")) if method == "edit" else _block_ratio("name", "match")
     scored = pairs.withColumn("score", score).filter(F.col("score") >= cutoff)
     best = F.min_by(F.struct("match", "score"), F.struct(-F.col("score"), F.col("match")))
@@ -139,7 +144,7 @@ def close_names(names: DataFrame, reference: DataFrame, name: str, ref: str, cut
 
 def correct_names(df: DataFrame, reference: DataFrame, on: Mapping[str, str], column: str, cutoff: float = 0.85, method: str = "blocks") -> DataFrame:
     """Replace the names that fail to join by their closest reference name, if one is close enough."""
-    lost = unmatched_keys(df, reference, on)
+    lost = settle(unmatched_keys(df, reference, on))
     found = close_names(lost, reference, column, on[column], cutoff, method)
     fixes = lost.join(found.select(F.col("name").alias(column), "match"), column)
     return apply_corrections(df, fixes, list(on), {column: "match"})

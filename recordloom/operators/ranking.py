@@ -56,12 +56,13 @@ def running_total(
     )
 
 
-def value_cells(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
-    """Distinct non-null values of ``column`` per ``by`` with their row count ``n``."""
+def value_cells(df: DataFrame, column: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """Distinct non-null values of ``column`` per ``by`` with their row count, or summed weight, ``n``."""
     present = df.filter(F.col(column).isNotNull())
     for key in by:
         present = present.filter(F.col(key).isNotNull())
-    return present.groupBy(*by, column).agg(F.count(F.lit(1)).alias("n"))
+    size = F.sum(weight) if weight else F.count(F.lit(1))
+    return present.groupBy(*by, column).agg(size.alias("n"))
 
 
 def average_ranks(cells: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
@@ -71,17 +72,20 @@ def average_ranks(cells: DataFrame, column: str, by: Sequence[str] = ()) -> Data
 
 
 def quantiles(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = (), weight: str | None = None
 ) -> DataFrame:
     """Exact linearly interpolated quantiles, one row per ``by`` and column.
 
+    ``weight`` names a column saying how many equal rows a row stands for.
+
     Output: ``by``, ``column``, ``n`` and ``q0, q1, ...`` in the order of ``probs``.
     """
     keys = [*by, "_column"]
     numbered = {str(i): F.col(c).cast("double") for i, c in enumerate(columns)}
-    values = df.select(*by, *[v.alias(i) for i, v in numbered.items()])
-    long = values.unpivot(list(by), list(numbered), "_column", "value").withColumn("_column", F.col("_column").cast("int"))
-    ranked = running_total(value_cells(long, "value", keys), "n", [F.col("value")], keys)
+    kept = [*by, weight] if weight else list(by)
+    values = df.select(*kept, *[v.alias(i) for i, v in numbered.items()])
+    long = values.unpivot(kept, list(numbered), "_column", "value").withColumn("_column", F.col("_column").cast("int"))
+    ranked = running_total(value_cells(long, "value", keys, weight), "n", [F.col("value")], keys)
     first, last = F.col("cum") - F.col("n"), F.col("cum")
 
     def at(position: Column) -> Column:
@@ -112,13 +116,13 @@ def approx_quantiles(
     return found.select(*by, "column", "n", *[F.col("_q")[i].alias(f"q{i}") for i in range(len(probs))])
 
 
-def thresholds(df: DataFrame, limits: Mapping[str, float]) -> dict[str, float | None]:
+def thresholds(df: DataFrame, limits: Mapping[str, float], weight: str | None = None) -> dict[str, float | None]:
     """One exact quantile per column, brought to the driver as plain numbers.
 
     Filters on a number are pushed into the scan and skip whole row groups.
     """
     probs = sorted(set(limits.values()))
-    found = {row["column"]: row for row in quantiles(df, list(limits), probs).collect()}
+    found = {row["column"]: row for row in quantiles(df, list(limits), probs, weight=weight).collect()}
     return {c: found[c][f"q{probs.index(p)}"] if c in found else None for c, p in limits.items()}
 
 

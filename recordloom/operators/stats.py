@@ -156,11 +156,13 @@ def fitted_line(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def anova(df: DataFrame, group: str, measure: str, top: int | None = None) -> DataFrame:
     """One-way analysis of variance over all, or the ``top`` most frequent, groups."""
-    rows = present(df, group).groupBy(group).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count(measure).alias("size"),
-        F.avg(measure).alias("mean"),
-        F.var_samp(measure).alias("variance"),
+    rows = settle(
+        present(df, group).groupBy(group).agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count(measure).alias("size"),
+            F.avg(measure).alias("mean"),
+            F.var_samp(measure).alias("variance"),
+        )
     )
     groups = (only_top(rows, rows, group, top) if top else rows).filter(F.col("size") > 0)
     grand = groups.agg((F.sum(F.col("size") * F.col("mean")) / F.sum("size")).alias("grand")).scalar()
@@ -179,7 +181,7 @@ def anova(df: DataFrame, group: str, measure: str, top: int | None = None) -> Da
 
 def kruskal(df: DataFrame, group: str, measure: str) -> DataFrame:
     """Kruskal-Wallis H with tie correction."""
-    cells = value_cells(df, measure, [group])
+    cells = settle(value_cells(df, measure, [group]))
     weights = cells.groupBy(measure).agg(F.sum("n").alias("n"))
     ranked = average_ranks(weights, measure).withColumnRenamed("n", "tied")
     t = F.col("tied").cast("double")
@@ -211,7 +213,7 @@ def chi2_independence(cells: DataFrame, row: str, column: str, correction: bool
     Pairs that never occur need no row: each adds its expected count, and all
     expected counts sum to the number of cases.
     """
-    seen = regroup(cells, row, column)
+    seen = settle(regroup(cells, row, column))
     rows = regroup(seen, row).withColumnRenamed("n", "row_n")
     columns = regroup(seen, column).withColumnRenamed("n", "column_n")
     margins = F.struct(F.count(F.lit(1)).alias("k"), F.sum("m").alias("cases"), F.sum(1 / F.col("m")).alias("inverse"))

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.functions.values import percent
-from recordloom.operators.filters import trim_above
-from recordloom.operators.frequency import only_top, present
+from recordloom.operators.frequency import only_top, present, tally
 from recordloom.operators.ranking import quantiles, thresholds
+from recordloom.session import settle
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -136,19 +136,20 @@ def box_stats(df: DataFrame, by: str, column: str, trim: float | None = 0.95, to
     ``top`` keeps the most frequent groups, then values above the ``trim`` quantile
     of what is left are dropped, as the charts do.
     """
-    rows = df.select(by, column)
+    cells = tally(df, by, column)
     if top:
-        sizes = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
-        rows = only_top(rows, sizes, by, top)
-    rows = present(rows, by, column)
+        cells = only_top(cells, cells, by, top)
+    cells = present(cells, by, column)
     if trim:
-        rows = trim_above(rows, {column: trim})
-    boxes = quantiles(rows, [column], QUARTILES, [by]).select(
-        by, F.col("q0").alias("q1"), F.col("q1").alias("q2"), F.col("q2").alias("q3")
+        edge = thresholds(cells, {column: trim}, weight="n")[column]
+        cells = cells.filter(F.col(column) <= F.lit(edge))
+    boxes = settle(
+        quantiles(cells, [column], QUARTILES, [by], weight="n").select(
+            by, F.col("q0").alias("q1"), F.col("q1").alias("q2"), F.col("q2").alias("q3")
+        )
     )
     reach = (F.col("q3") - F.col("q1")) * 1.5
     x = F.col(column)
-    cells = rows.groupBy(by, column).agg(F.count(F.lit(1)).alias("n"))
     return (
         cells.join(boxes, by)
         .groupBy(by, "q1", "q2", "q3")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from recordloom.functions.pvalues import verdict
 from recordloom.operators import filters, stats
-from recordloom.operators.frequency import counts, counts_with_nulls, only_top
+from recordloom.operators.frequency import counts, only_top, tally
 from recordloom.plans import model
 from recordloom.plans.profiling import rounded
 from recordloom.plans.registry import query
@@ -205,7 +205,7 @@ def chi2_independence(spark, folder):
     + """ SELECT round(sum((n - e) ** 2 / e), 6) AS chi2, (count(DISTINCT a) - 1) * (count(DISTINCT b) - 1) AS dof FROM e""",
 )
 def chi2_top(spark, folder):
-    cells = counts_with_nulls(model.fact(spark, folder), "municipality", "weapon")
+    cells = tally(model.fact(spark, folder), "municipality", "weapon")
     kept = only_top(cells, cells, "municipality", 10)
     return rounded(stats.chi2_independence(kept, "municipality", "weapon").select("chi2", "dof"), "chi2", digits=6)
 

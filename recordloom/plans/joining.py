@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from recordloom.functions import fixed
 from recordloom.functions.values import compose_code, rate_per_100k, replace_values
 from recordloom.operators import filters, joins
-from recordloom.operators.conform import stack_by_name
+from recordloom.operators.conform import replace_pairs, stack_by_name
 from recordloom.operators.frequency import counts, counts_with_nulls, only_top
 from recordloom.operators.ranking import first_per_key
 from recordloom.plans import model
@@ -95,11 +95,8 @@ def join_coalesce(spark, folder):
 )
 def composite_remap(spark, folder):
     pairs = [("ASIA", "NATION_12", "EUROPE", "NATION_99"), ("AFRICA", "NATION_5", "AFRICA", "NATION 5")]
-    fixes = spark.createDataFrame(pairs, "department string, municipality string, dep_fix string, mun_fix string")
     cells = counts(model.fact(spark, folder), "department", "municipality")
-    moved = joins.apply_corrections(
-        cells, fixes, ["department", "municipality"], {"department": "dep_fix", "municipality": "mun_fix"}
-    )
+    moved = replace_pairs(cells, "department", "municipality", [*pairs, *fixed.PLACE_PAIRS])
     return moved.groupBy("department", "municipality").agg(F.sum("n").alias("n"))
 
 

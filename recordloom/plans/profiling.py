@@ -231,7 +231,7 @@ def kpi_bundle(spark, folder):
         round(sum(n) * 100.0 / (SELECT count(*) FROM fact), 4) AS pct FROM (SELECT n FROM c ORDER BY n DESC, municipality LIMIT 5)""",
 )
 def topk_share(spark, folder):
-    return rounded(frequency.top_share(model.fact(spark, folder), "municipality", 5), "pct")
+    return rounded(frequency.top_share(frequency.tally(model.fact(spark, folder), "municipality"), "municipality", 5), "pct")
 
 
 @query(
@@ -261,7 +261,7 @@ def crosstab_margins(spark, folder):
         FROM gappy WHERE offence IS NOT NULL AND gender IS NOT NULL GROUP BY 1, 2""",
 )
 def crosstab_rowpct(spark, folder):
-    return rounded(tabs.row_percent(counts(gappy(spark, folder), "offence", "gender"), "offence", "gender"), "pct")
+    return rounded(tabs.row_percent(frequency.tally(gappy(spark, folder), "offence", "gender"), "offence", "gender"), "pct")
 
 
 @query(
@@ -272,7 +272,7 @@ def crosstab_rowpct(spark, folder):
         AND weapon IN (SELECT weapon FROM fact GROUP BY 1 ORDER BY count(*) DESC, weapon LIMIT 3) GROUP BY 1, 2""",
 )
 def topn_crosstab(spark, folder):
-    return tabs.top_crosstab(model.fact(spark, folder), "municipality", "weapon", 10, 3)
+    return tabs.top_crosstab(frequency.tally(model.fact(spark, folder), "municipality", "weapon"), "municipality", "weapon", 10, 3)
 
 
 @query(
@@ -397,4 +397,4 @@ def log10_summary(spark, folder):
     WITH_RECORDS + " SELECT gender, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 4) AS pct FROM records GROUP BY 1",
 )
 def percent_share(spark, folder):
-    return rounded(frequency.top_with_share(model.records(spark, folder), "gender", 20), "pct")
+    return rounded(frequency.top_with_share(frequency.tally(model.records(spark, folder), "gender"), "gender", 20), "pct")

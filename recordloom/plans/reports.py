@@ -133,11 +133,11 @@ def executive_summary(spark, folder):
         (SELECT gender FROM fact GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS gender""",
 )
 def findings(spark, folder):
-    base = model.records(spark, folder)
-    yearly = counts(base, "year")
+    cells = frequency.tally(model.records(spark, folder), "year", "offence")
+    yearly = frequency.regroup(cells, "year")
     ends = trends.first_to_last(yearly, "year", "n").withColumn("change_pct", F.round("change_pct", 4))
     peak = frequency.extremes(yearly, "year").select("max_value").scalar()
-    share = frequency.top_share(base, "offence", 3).select(F.round("pct", 4)).scalar()
+    share = frequency.top_share(cells, "offence", 3).select(F.round("pct", 4)).scalar()
     leading = frequency.modes(
         model.fact(spark, folder), ["offence", "department", "municipality", "weapon", "gender"]
     ).agg(F.map_from_entries(F.collect_list(F.struct("column", "mode"))).alias("m")).scalar()
@@ -162,7 +162,7 @@ def victim_profile(spark, folder):
     """One count over both keys; grouping sets add the margins to that small result."""
     orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("record_id"), F.col("o_orderstatus").alias("gender"))
     victims = model.lines(spark, folder).select("record_id", "age_group").join(orders, "record_id")
-    cells = counts(victims, "gender", "age_group")
+    cells = frequency.present(frequency.tally(victims, "gender", "age_group"), "gender", "age_group")
     sets = cells.groupingSets([["gender"], ["age_group"], ["gender", "age_group"]], "gender", "age_group").agg(
         F.sum("n").alias("n"), F.grouping_id("gender", "age_group").alias("_set")
     )

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from recordloom.operators import frequency, ranking, trends
 from recordloom.operators.crosstab import crosstab
-from recordloom.operators.frequency import counts, counts_with_nulls
+from recordloom.operators.frequency import counts, tally
 from recordloom.plans import model
 from recordloom.plans.profiling import rounded
 from recordloom.plans.registry import query
@@ -58,7 +58,7 @@ def first_last_change(spark, folder):
         round(n * 100.0 / sum(n) OVER (PARTITION BY department), 4) AS pct FROM c QUALIFY position <= 3""",
 )
 def topk_per_group(spark, folder):
-    return rounded(frequency.top_k_per_group(model.fact(spark, folder), "department", "municipality", 3), "pct")
+    return rounded(frequency.top_k_per_group(tally(model.fact(spark, folder), "department", "municipality"), "department", "municipality", 3), "pct")
 
 
 @query(
@@ -70,7 +70,8 @@ def topk_per_group(spark, folder):
         round(n * 100.0 / sum(n) OVER (PARTITION BY municipality), 4) AS pct FROM c WHERE municipality IN (SELECT municipality FROM g) QUALIFY position = 1""",
 )
 def top1_per_group(spark, folder):
-    return rounded(frequency.top_k_per_group(model.fact(spark, folder), "municipality", "weapon", 1, groups=10), "pct")
+    cells = tally(model.fact(spark, folder), "municipality", "weapon")
+    return rounded(frequency.top_k_per_group(cells, "municipality", "weapon", 1, groups=10), "pct")
 
 
 @query(
@@ -110,7 +111,7 @@ def head_rows(spark, folder):
       SELECT CASE WHEN r <= 6 THEN municipality ELSE 'OTROS' END AS municipality, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY 1""",
 )
 def topn_others(spark, folder):
-    return frequency.top_and_rest(model.fact(spark, folder), "municipality", 6)
+    return frequency.top_and_rest(tally(model.fact(spark, folder), "municipality"), "municipality", 6)
 
 
 @query(
@@ -120,7 +121,8 @@ def topn_others(spark, folder):
         (SELECT municipality FROM fact GROUP BY 1 ORDER BY count(*) DESC, municipality LIMIT 5) GROUP BY 1, 2""",
 )
 def topn_evolution(spark, folder):
-    return frequency.top_by_period(model.fact(spark, folder), "municipality", "year", 5).select("municipality", "year", "n")
+    cells = tally(model.fact(spark, folder), "municipality", "year")
+    return frequency.top_by_period(cells, "municipality", "year", 5).select("municipality", "year", "n")
 
 
 @query(
@@ -145,7 +147,7 @@ def pivot_evolution(spark, folder):
 )
 def drilldown(spark, folder):
     chosen = model.fact(spark, folder).filter(F.col("offence") == "2-HIGH")
-    cells = counts_with_nulls(chosen, "department", "weapon")
+    cells = tally(chosen, "department", "weapon")
     parts = []
     for column in ("department", "weapon"):
         top = frequency.top_values(cells, column, 3)

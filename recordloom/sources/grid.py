@@ -47,7 +47,7 @@ def preview(grid: DataFrame, rows: int) -> DataFrame:
 
 def _one_header(scored: DataFrame, order: Sequence[Column]) -> DataFrame:
     best = F.min_by(F.struct("pos", "row_idx", "cells"), F.struct(*order))
-    return scored.groupBy("file").agg(best.alias("_h")).select("file", "_h.*")
+    return settle(scored.groupBy("file").agg(best.alias("_h")).select("file", "_h.*"))
 
 
 def header_by_words(grid: DataFrame, words: Sequence[str] = HEADER_WORDS, rows: int = 40) -> DataFrame:
@@ -56,7 +56,7 @@ def header_by_words(grid: DataFrame, words: Sequence[str] = HEADER_WORDS, rows:
     hits = reduce(lambda a, b: a + b, [F.contains(text, F.lit(w)).cast("int") for w in words])
     scored = preview(grid, rows).withColumn("hits", hits)
     best = F.min_by(F.struct("pos", "row_idx", "hits", "cells"), F.struct(-F.col("hits"), F.col("row_idx")))
-    return scored.groupBy("file").agg(best.alias("_h")).select("file", "_h.*")
+    return settle(scored.groupBy("file").agg(best.alias("_h")).select("file", "_h.*"))
 
 
 def _exists(cells: Column, word: str) -> Column:
@@ -99,17 +99,18 @@ def header_by_candidates(
 
 def header_at(grid: DataFrame, row: int) -> DataFrame:
     """The line with a fixed row number as the header of every file."""
-    return preview(grid, row + 1).filter(F.col("row_idx") == row).select("file", "pos", "row_idx", "cells")
+    return settle(preview(grid, row + 1).filter(F.col("row_idx") == row).select("file", "pos", "row_idx", "cells"))
 
 
 def footer_cut(grid: DataFrame, total: str = TOTAL_LINE, source: str = SOURCE_LINE) -> DataFrame:
     """Per file the position of the first total line, else of the first source line."""
     text = row_text(F.col("cells"))
-    marks = grid.groupBy("file").agg(
-        F.min(F.when(text.rlike(total), F.col("pos"))).alias("_total"),
-        F.min(F.when(text.rlike(source), F.col("pos"))).alias("_source"),
+    marked = grid.select("file", "pos", text.rlike(total).alias("_t"), text.rlike(source).alias("_s")).filter("_t OR _s")
+    marks = marked.groupBy("file").agg(
+        F.min(F.when(F.col("_t"), F.col("pos"))).alias("_total"),
+        F.min(F.when(F.col("_s"), F.col("pos"))).alias("_source"),
     )
-    return marks.select("file", F.coalesce("_total", "_source").alias("cut_pos"))
+    return settle(marks.select("file", F.coalesce("_total", "_source").alias("cut_pos")))
 
 
 def below(grid: DataFrame, headers: DataFrame) -> DataFrame:
@@ -136,17 +137,15 @@ def records(grid: DataFrame, headers: DataFrame, columns: Sequence[str], pattern
     column the file lacks is null.
     """
     names = standard_names(F.col("cells"), patterns)
-    layout = settle(
-        headers.withColumn("_names", names).select(
-            "file", "pos", *[F.nullif(F.array_position("_names", F.lit(c)), F.lit(0)).cast("int").alias(f"_at_{c}") for c in columns]
-        )
+    layout = headers.withColumn("_names", names).select(
+        "file", *[F.nullif(F.array_position("_names", F.lit(c)), F.lit(0)).cast("int").alias(f"_at_{c}") for c in columns]
     )
-    body = below(grid, layout)
-    cuts = settle(footer_cut(body))
+    body = below(grid, headers)
+    cuts = footer_cut(body)
     picked = [
         F.nullif(F.trim(F.try_element_at("cells", F.col(f"_at_{c}"))), F.lit("")).alias(c) for c in columns
     ]
-    return above_cut(body, cuts).join(layout.drop("pos"), "file").select("file", *picked)
+    return above_cut(body, cuts).join(layout, "file").select("file", *picked)
 
 
 def load_audit(grid: DataFrame, headers: DataFrame, loaded: DataFrame) -> DataFrame:

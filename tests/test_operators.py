@@ -222,7 +222,7 @@ def test_crosstab_margins_add_up(spark, skewed):
     cells = [r["n"] for r in long if r["key"] != "All" and r["y"] != "All"]
     grand = [r["n"] for r in long if r["key"] == "All" and r["y"] == "All"]
     assert sum(cells) == grand[0] == len(rows)
-    shares = crosstab.row_percent(frequency.counts(df, "key", "y"), "key", "y").groupBy("key").agg(F.sum("pct").alias("s"))
+    shares = crosstab.row_percent(frequency.tally(df, "key", "y"), "key", "y").groupBy("key").agg(F.sum("pct").alias("s"))
     assert all(r["s"] == pytest.approx(100.0) for r in shares.collect())
 
 
@@ -234,8 +234,9 @@ def test_crosstab_zero_fill_drops_nulls(spark):
 
 def test_top_lists(spark):
     df = spark.createDataFrame([(c,) for c in "aaabbcd"], "k string")
-    assert {r["k"]: r["n"] for r in frequency.top_and_rest(df, "k", 2).collect()} == {"a": 3, "b": 2, "OTROS": 2}
-    share = frequency.top_share(df, "k", 2).first()
+    cells = frequency.tally(df, "k")
+    assert {r["k"]: r["n"] for r in frequency.top_and_rest(cells, "k", 2).collect()} == {"a": 3, "b": 2, "OTROS": 2}
+    share = frequency.top_share(cells, "k", 2).first()
     assert (share["top_n"], share["total"]) == (5, 7)
 
 
