@@ -84,29 +84,40 @@ DEPARTMENT_TO_GAZETTEER = {
     "SAN ANDRES": "ARCHIPIELAGO DE SAN ANDRES, PROVIDENCIA Y SANTA CATALINA",
 }
 
-# Places as the gazetteer writes them.
-PLACE_TO_GAZETTEER = {
-    "CARTAGENA": "CARTAGENA DE INDIAS", "CUCUTA": "SAN JOSE DE CUCUTA", "DON MATIAS": "DONMATIAS",
-    "GUICAN": "GUICAN DE LA SIERRA", "LOPEZ": "LOPEZ DE MICAY", "MANAURE": "MANAURE BALCON DEL CESAR",
-    "SAN ANDRES SOTAVENTO": "SAN ANDRES DE SOTAVENTO", "SAN JUAN DE RIO SECO": "SAN JUAN DE RIOSECO",
-    "SAN PEDRO": "SAN PEDRO DE LOS MILAGROS", "SAN VICENTE": "SAN VICENTE FERRER",
-    "SANTAFE DE ANTIOQUIA": "SANTA FE DE ANTIOQUIA", "TOLU VIEJO": "SAN JOSE DE TOLUVIEJO",
-    "CALI": "SANTIAGO DE CALI", "PURISIMA": "PURISIMA DE LA CONCEPCION", "PIENDAMO": "PIENDAMO - TUNIA",
-    "SOTARA": "SOTARA - PAISPAMBA", "CUASPUD": "CUASPUD CARLOSAMA", "CHIBOLO": "CHIVOLO",
-    "CERRO SAN ANTONIO": "CERRO DE SAN ANTONIO", "MARIQUITA": "SAN SEBASTIAN DE MARIQUITA",
-}
-
-# Fixed values: (department, place) pairs recorded under the wrong department or spelling.
+# Fixed values: (department, place) pairs and the pair the gazetteer has for them.
 PLACE_PAIRS = (
+    ("ANTIOQUIA", "DON MATIAS", "ANTIOQUIA", "DONMATIAS"),
+    ("ANTIOQUIA", "SAN PEDRO", "ANTIOQUIA", "SAN PEDRO DE LOS MILAGROS"),
+    ("ANTIOQUIA", "SAN VICENTE", "ANTIOQUIA", "SAN VICENTE FERRER"),
+    ("ANTIOQUIA", "SANTAFE DE ANTIOQUIA", "ANTIOQUIA", "SANTA FE DE ANTIOQUIA"),
+    ("BOLIVAR", "CARTAGENA", "BOLIVAR", "CARTAGENA DE INDIAS"),
     ("BOLIVAR", "CARTAGO", "VALLE DEL CAUCA", "CARTAGO"),
+    ("BOLIVAR", "MOMPOS", "BOLIVAR", "SANTA CRUZ DE MOMPOX"),
+    ("BOYACA", "GUICAN", "BOYACA", "GUICAN DE LA SIERRA"),
+    ("CAUCA", "LOPEZ", "CAUCA", "LOPEZ DE MICAY"),
+    ("CAUCA", "PIENDAMO", "CAUCA", "PIENDAMO - TUNIA"),
+    ("CAUCA", "SOTARA", "CAUCA", "SOTARA - PAISPAMBA"),
+    ("CAUCA", "SOTARA PAISPAMBA", "CAUCA", "SOTARA - PAISPAMBA"),
     ("CAUCA", "SOTAQUIRA", "BOYACA", "SOTAQUIRA"),
-    ("TOLIMA", "ARAUQUITA", "ARAUCA", "ARAUQUITA"),
+    ("CESAR", "MANAURE", "CESAR", "MANAURE BALCON DEL CESAR"),
+    ("CORDOBA", "PURISIMA", "CORDOBA", "PURISIMA DE LA CONCEPCION"),
+    ("CORDOBA", "SAN ANDRES SOTAVENTO", "CORDOBA", "SAN ANDRES DE SOTAVENTO"),
+    ("CUNDINAMARCA", "SAN JUAN DE RIO SECO", "CUNDINAMARCA", "SAN JUAN DE RIOSECO"),
+    ("MAGDALENA", "CERRO SAN ANTONIO", "MAGDALENA", "CERRO DE SAN ANTONIO"),
+    ("MAGDALENA", "CHIBOLO", "MAGDALENA", "CHIVOLO"),
     ("NARINO", "CUASPUD", "NARINO", "CUASPUD CARLOSAMA"),
-    ("ANTIOQUIA", "SAN VICENTE", "ANTIOQUIA", "SAN VICENTE FERRER"),
+    ("NARINO", "CUASPUD - CARLOSAMA", "NARINO", "CUASPUD CARLOSAMA"),
+    ("NORTE DE SANTANDER", "CUCUTA", "NORTE DE SANTANDER", "SAN JOSE DE CUCUTA"),
+    ("SUCRE", "TOLU VIEJO", "SUCRE", "SAN JOSE DE TOLUVIEJO"),
+    ("TOLIMA", "ARAUQUITA", "ARAUCA", "ARAUQUITA"),
     ("TOLIMA", "MARIQUITA", "TOLIMA", "SAN SEBASTIAN DE MARIQUITA"),
     ("VALLE DEL CAUCA", "CALI", "VALLE DEL CAUCA", "SANTIAGO DE CALI"),
 )
 
+# The capital and the department it is counted in.
+CAPITAL = "BOGOTA, D.C."
+CAPITAL_DEPARTMENT = "CUNDINAMARCA"
+
 # Words found in the place column that name no place, and places outside the gazetteer.
 NOT_A_PLACE = ("ACIDO", "AGUA CALIENTE", "VEHICULO", "NAN", "NO REPORTADO", "SIN EMPLEO DE ARMAS")
 UNKNOWN_PLACE = "DESCONOCIDO"

@@ -10,24 +10,25 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Every space beyond ASCII.
+ODD_SPACES = "\u0085\u00a0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(chr(c) for c in range(0x2000, 0x200B))
+
+
 def _letter_table() -> tuple[str, str]:
-    """Accented Latin letters and other spaces with their plain form, derived from Unicode.
+    """Accented Latin letters and odd spaces with their plain form, derived from Unicode.
 
     Combining marks come last and have no plain form: ``translate`` deletes those.
     """
-    marked, plain = [], []
-    for code in [*range(0xA0, 0x250), *range(0x1E00, 0x1F00), *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000]:
+    table = dict.fromkeys(ODD_SPACES, " ")
+    for code in [*range(0xA0, 0x250), *range(0x1E00, 0x1F00)]:
         base = [c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c)]
         if len(base) == 1 and base[0].isascii():
-            marked.append(chr(code))
-            plain.append(base[0])
-    return "".join(marked + [chr(c) for c in range(0x300, 0x370)]), "".join(plain)
+            table[chr(code)] = base[0]
+    return "".join(table) + "".join(chr(c) for c in range(0x300, 0x370)), "".join(table.values())
 
 
 MARKED, PLAIN = _letter_table()
 
-ODD_SPACES = "\u0085\u00a0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(chr(c) for c in range(0x2000, 0x200B))
-
 # Letters whose transliteration is longer than one letter or has no decomposition.
 LIGATURES = {
     "ß": "ss", "ẞ": "SS", "Æ": "AE", "æ": "ae", "Œ": "OE", "œ": "oe",
@@ -36,8 +37,8 @@ LIGATURES = {
 
 
 def strip_accents(text: Column) -> Column:
-    """Base letters only; text that is plain already is passed through."""
-    return F.when(text.rlike(r"[^\x00-\x7f]"), F.translate(text, MARKED, PLAIN)).otherwise(text)
+    """Base letters only, and plain spaces."""
+    return F.translate(text, MARKED, PLAIN)
 
 
 def to_ascii(text: Column) -> Column:
@@ -50,8 +51,7 @@ def to_ascii(text: Column) -> Column:
 
 def squeeze(text: Column) -> Column:
     """One space between words, none at the ends; every kind of space counts."""
-    plain = F.when(text.rlike(r"[^\x00-\x7f]"), F.translate(text, ODD_SPACES, " " * len(ODD_SPACES))).otherwise(text)
-    return _squeeze_ascii(plain)
+    return _squeeze_ascii(F.translate(text, ODD_SPACES, " " * len(ODD_SPACES)))
 
 
 def _squeeze_ascii(text: Column) -> Column:
@@ -66,7 +66,7 @@ def text_key(text: Column) -> Column:
 def text_key_words(text: Column) -> Column:
     """Comparison key in which punctuation counts as a space."""
     bare = strip_accents(F.upper(F.coalesce(text, F.lit(""))))
-    return squeeze(F.regexp_replace(bare, r"(?U)[^\w\s]", " "))
+    return _squeeze_ascii(F.regexp_replace(bare, r"(?U)[^\w\s]", " "))
 
 
 def place_clean(name: Column, letters_only: bool = False) -> Column:
@@ -77,7 +77,7 @@ def place_clean(name: Column, letters_only: bool = False) -> Column:
     out = to_ascii(F.regexp_replace(F.upper(F.trim(name)), r"\(CT\)", ""))
     if letters_only:
         out = F.regexp_replace(out, r"[^A-Z\s]", "")
-    return F.nullif(squeeze(out), F.lit("NAN"))
+    return F.nullif(_squeeze_ascii(out), F.lit("NAN"))
 
 
 def column_key(name: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from recordloom.functions import fixed, text, values
+from recordloom.functions import fixed, places, text, values
 from recordloom.operators import conform, filters
 from recordloom.operators.frequency import counts
 from recordloom.plans import model
@@ -222,9 +222,8 @@ SWAP_WEAPON = "CASE WHEN o_orderkey % 8 = 0 THEN 'Nariño' WHEN o_orderkey % 4 =
 )
 def swap_columns(spark, folder):
     rows = _orders(spark, folder, department=SWAP_DEPARTMENT, weapon=SWAP_WEAPON)
-    looks_like_weapon = text.text_key_words(F.col("department")).rlike(fixed.WEAPON_WORDS)
-    is_department = text.text_key_words(F.col("weapon")).isin(list(fixed.DEPARTMENT_KEYS))
-    return counts(conform.swap_where(rows, "department", "weapon", looks_like_weapon & is_department), "department", "weapon")
+    wrong = places.looks_like_weapon(F.col("department")) & places.is_department(F.col("weapon"))
+    return counts(conform.swap_where(rows, "department", "weapon", wrong), "department", "weapon")
 
 
 @query("swap_all", "SELECT o_orderpriority AS o_orderstatus, o_orderstatus AS o_orderpriority, count(*) AS n FROM orders GROUP BY ALL")
@@ -347,10 +346,7 @@ def place_clean(spark, folder):
         count(*) AS n FROM orders GROUP BY 1""",
 )
 def canon_lookup(spark, folder):
-    raw = F.col("raw")
-    key = text.text_key_words(raw)
-    official = F.create_map(*[F.lit(v) for pair in fixed.DEPARTMENT_NAMES.items() for v in pair])[key]
-    rows = _orders(spark, folder, raw=DIRTY_DEPARTMENT).select(F.coalesce(official, raw).alias("department"))
+    rows = _orders(spark, folder, raw=DIRTY_DEPARTMENT).select(places.official_department(F.col("raw")).alias("department"))
     return rows.groupBy("department").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from recordloom.functions import fixed, values
 from recordloom.operators import joins
 from recordloom.operators.frequency import counts
-from recordloom.plans import model
+from recordloom.plans import jobs, model
 from recordloom.plans.profiling import rounded
 from recordloom.plans.registry import query
 from recordloom.session import scratch_path, settle
@@ -166,6 +166,20 @@ def load_sheets(spark, folder):
     return typed.groupBy(*keys).agg(F.sum("cantidad").alias("cantidad"), F.max("fecha").alias("last_day"))
 
 
+@query(
+    "unified_records",
+    WITH_FACT
+    + """ SELECT department AS departamento, municipality AS municipio, weapon AS arma_medio, gender AS genero, CAST(NULL AS VARCHAR) AS codigo_dane,
+        year AS "ANIO", upper(offence) AS "DELITO", CAST(count(*) AS DOUBLE) AS cantidad FROM fact GROUP BY ALL""",
+)
+def unified_records(spark, folder):
+    """Years before 2000 are not in the sheet names' pattern, so the year comes from the event date there."""
+    offence = F.regexp_extract("file", r"_\d{4}_(.*)\.csv$", 1)
+    table_of_all = jobs.unify_sheets(sheets(spark, folder), offence)
+    keys = ["departamento", "municipio", "arma_medio", "genero", "codigo_dane", "ANIO", "DELITO"]
+    return table_of_all.groupBy(*keys).agg(F.sum("cantidad").alias("cantidad"))
+
+
 @query(
     "load_audit",
     SHEETS_SQL + " SELECT file, head + 1 + rows + foot AS lines, CAST(head AS INTEGER) AS header_row, rows, 'loaded' AS status FROM sheets",

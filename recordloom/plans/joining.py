@@ -251,7 +251,7 @@ def gazetteer_prepared(spark, folder):
     moved = F.when(F.endswith(F.col("nom_mpio"), F.lit("_24")), F.lit("MIDDLE")).otherwise(F.col("dpto"))
     return raw.select(
         replace_values(moved, fixed.DEPARTMENT_TO_GAZETTEER).alias("department"),
-        replace_values(F.upper("nom_mpio"), fixed.PLACE_TO_GAZETTEER).alias("municipality"),
+        F.upper("nom_mpio").alias("municipality"),
         compose_code(F.col("cod_dpto"), F.col("cod_mpio")).alias("code"),
     )
 

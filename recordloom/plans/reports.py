@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from recordloom.functions.values import percent, rate_per_100k
 from recordloom.operators import frequency, joins, ranking, star, summary, trends
 from recordloom.operators.frequency import counts
-from recordloom.plans import model
+from recordloom.plans import jobs, model
 from recordloom.plans.profiling import rounded
 from recordloom.plans.registry import query
 from recordloom.sources.files import table
@@ -208,3 +208,77 @@ def star_schema(spark, folder):
         F.count(F.lit(1)).alias("n"), F.sum("amount").alias("amount")
     )
     return rounded(grouped, "amount", digits=2)
+
+
+YEAR_SQL = """WITH raw AS (SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'VALLE' WHEN 1 THEN 'Bolívar' WHEN 2 THEN 'La Guajira'
+      WHEN 3 THEN 'TOTAL' ELSE 'CESAR' END AS dep, CASE WHEN o_orderkey % 11 = 0 THEN 'NAN' WHEN o_orderkey % 5 = 0 THEN 'Cali (CT)'
+      WHEN o_orderkey % 5 = 1 THEN 'CARTAGENA' WHEN o_orderkey % 7 = 0 THEN '-' ELSE 'MANAURE' END AS mun, o_orderdate AS d, o_custkey AS n FROM orders),
+    clean AS (SELECT id, CASE dep WHEN 'VALLE' THEN 'VALLE DEL CAUCA' WHEN 'Bolívar' THEN 'BOLIVAR' WHEN 'La Guajira' THEN 'LA GUAJIRA' ELSE dep END AS dep,
+      CASE WHEN mun = 'Cali (CT)' THEN 'SANTIAGO DE CALI' WHEN mun = 'CARTAGENA' THEN 'CARTAGENA DE INDIAS'
+      WHEN dep = 'CESAR' THEN 'MANAURE BALCON DEL CESAR' ELSE mun END AS mun, d, n, CAST(year(d) AS INTEGER) AS y
+      FROM raw WHERE dep <> 'TOTAL' AND mun NOT IN ('NAN', '-'))"""
+
+
+def _yearly(spark, folder):
+    """A yearly sheet with the usual faults, one row per order."""
+    dep = "CASE o_orderkey % 5 WHEN 0 THEN 'VALLE' WHEN 1 THEN 'Bolívar' WHEN 2 THEN 'La Guajira' WHEN 3 THEN 'TOTAL' ELSE 'CESAR' END"
+    mun = (
+        "CASE WHEN o_orderkey % 11 = 0 THEN 'NAN' WHEN o_orderkey % 5 = 0 THEN 'Cali (CT)' WHEN o_orderkey % 5 = 1 THEN 'CARTAGENA' "
+        "WHEN o_orderkey % 7 = 0 THEN '-' ELSE 'MANAURE' END"
+    )
+    raw = table(spark, folder, "orders").select(
+        F.expr(dep).alias("DEPARTAMENTO"),
+        F.expr(mun).alias("MUNICICPIO"),
+        F.col("o_orderpriority").alias("ARMA_MEDIO"),
+        F.date_format("o_orderdate", "yyyyMMdd").alias("FECHA"),
+        F.concat(F.lower("o_orderstatus"), F.lit(" ")).alias("GENERO"),
+        F.col("o_custkey").cast("string").alias("CANTIDAD"),
+        F.lit("x").alias("sobra"),
+    )
+    return jobs.clean_year(raw, F.lit("HURTO"), F.year(F.to_date("FECHA_HECHO")))
+
+
+@query(
+    "cleaned_year",
+    YEAR_SQL
+    + """ SELECT dep AS "DEPARTAMENTO", mun AS "MUNICIPIO", y AS "ANIO", 'HURTO' AS "TIPO_DELITO", count(*) AS n,
+        CAST(sum(n) AS BIGINT) AS "CANTIDAD", CAST(max(d) AS DATE) AS last_day FROM clean GROUP BY ALL""",
+)
+def cleaned_year(spark, folder):
+    grouped = _yearly(spark, folder).groupBy("DEPARTAMENTO", "MUNICIPIO", "ANIO", "TIPO_DELITO")
+    return grouped.agg(
+        F.count(F.lit(1)).alias("n"), F.sum("CANTIDAD").alias("CANTIDAD"), F.max("FECHA_HECHO").alias("last_day")
+    )
+
+
+@query(
+    "enriched_year",
+    YEAR_SQL
+    + """, places AS (SELECT 'VALLE DEL CAUCA' AS dep, 'SANTIAGO DE CALI' AS mun, 1 AS code, 3 AS k UNION ALL
+        SELECT 'BOLIVAR', 'CARTAGENA DE INDIAS', 2, 4 UNION ALL SELECT 'LA GUAJIRA', 'MANAURE', 3, 5),
+      people AS (SELECT k, count(*) * 10 AS p FROM (SELECT CAST(c_nationkey % 3 AS INTEGER) + 1 AS k FROM customer) GROUP BY 1)
+      SELECT clean.dep AS "DEPARTAMENTO", clean.mun AS "MUNICIPIO", y AS "ANIO", n AS "CANTIDAD", code, p AS "POBLACION_TOTAL",
+        round(n / p * 100000.0::DOUBLE, 4) AS "TASA_DELITO_100K" FROM clean
+      LEFT JOIN places ON places.dep = clean.dep AND places.mun = clean.mun LEFT JOIN people ON people.k = code AND y <= 2000""",
+)
+def enriched_year(spark, folder):
+    """Gazetteer and population arrive with their own spellings, areas and duplicates."""
+    names = F.array(
+        *[
+            F.struct(F.lit(d).alias("dpto"), F.lit(m).alias("nom_mpio"), F.lit(c).alias("code"))
+            for d, m, c in (("Valle", "Cali", 1), ("BOLÍVAR", "Cartagena de Indias", 2), ("La Guajira", "Manaure", 3), ("La Guajira", "MANAURE", 9))
+        ]
+    )
+    raw_places = spark.range(1).select(F.inline(names))
+    people = table(spark, folder, "customer").groupBy((F.col("c_nationkey") % 3 + 1).alias("k")).agg((F.count(F.lit(1)) * 10).alias("TOTAL"))
+    years = F.explode(F.transform(F.sequence(F.lit(1990), F.lit(2001)), lambda y: y.cast("string")))
+    yearly = people.join(raw_places, F.col("k") == F.col("code")).select(
+        F.col("dpto").alias("DPNOM"), F.col("nom_mpio").alias("DPMP"), F.col("TOTAL").cast("string").alias("TOTAL"),
+        years.alias("ANIO"),
+    )
+    raw_people = yearly.withColumn("AREA_GEOGRAFICA", F.explode(F.array(F.lit(" total "), F.lit("Cabecera"))))
+    gazetteer = jobs.prepare_gazetteer(raw_places, F.col("code"))
+    population = jobs.prepare_population(raw_people, 1995, 2000)
+    done = jobs.enrich(_yearly(spark, folder), gazetteer, population, ["code"])
+    shown = done.select("DEPARTAMENTO", "MUNICIPIO", "ANIO", "CANTIDAD", "code", "POBLACION_TOTAL", "TASA_DELITO_100K")
+    return rounded(shown, "TASA_DELITO_100K")
