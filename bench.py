@@ -20,7 +20,7 @@ HEADLINE = [
     "freq_cum_pct_wide", "group_stats", "describe_ext", "quantiles", "quantile_trim", "histogram", "boxplot_stats",
     "mode_share", "crosstab_margins", "topn_crosstab", "corr_pearson", "corr_spearman", "corr_kendall", "kruskal_wallis",
     "anova_oneway", "chi2_independence", "topk_per_group", "yoy_change", "executive_summary", "victim_profile", "star_schema",
-    "sink_roundtrip",
+    "sink_roundtrip", "unified_records", "cleaned_year",
 ]
 
 

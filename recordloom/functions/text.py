@@ -29,11 +29,9 @@ def _letter_table() -> tuple[str, str]:
 
 MARKED, PLAIN = _letter_table()
 
-# Letters whose transliteration is longer than one letter or has no decomposition.
-LIGATURES = {
-    "ß": "ss", "ẞ": "SS", "Æ": "AE", "æ": "ae", "Œ": "OE", "œ": "oe",
-    "Ø": "O", "ø": "o", "Ł": "L", "ł": "l", "Đ": "D", "đ": "d",
-}
+# Letters without a decomposition and their transliteration.
+STROKED = {"Ø": "O", "ø": "o", "Ł": "L", "ł": "l", "Đ": "D", "đ": "d"}
+LIGATURES = {"ß": "ss", "ẞ": "SS", "Æ": "AE", "æ": "ae", "Œ": "OE", "œ": "oe"}
 
 
 def strip_accents(text: Column) -> Column:
@@ -43,7 +41,7 @@ def strip_accents(text: Column) -> Column:
 
 def to_ascii(text: Column) -> Column:
     """``strip_accents`` plus letters that have no decomposition."""
-    out = strip_accents(text)
+    out = F.translate(text, "".join(STROKED) + MARKED, "".join(STROKED.values()) + PLAIN)
     for letter, ascii_form in LIGATURES.items():
         out = F.replace(out, F.lit(letter), F.lit(ascii_form))
     return out

@@ -106,11 +106,11 @@ def set_where(df: DataFrame, column: str, mask: Column, value: Column) -> DataFr
 
 def replace_pairs(df: DataFrame, left: str, right: str, pairs: Iterable[tuple[str, str, str, str]]) -> DataFrame:
     """Replace listed value pairs of two columns by another pair; homonyms under other keys stay."""
-    fixes = [
-        F.when((F.col(left) == a) & (F.col(right) == b), F.struct(F.lit(c).alias("l"), F.lit(d).alias("r")))
-        for a, b, c, d in pairs
+    mark = "\u0001"
+    entries = [
+        item for a, b, c, d in pairs for item in (F.lit(a + mark + b), F.struct(F.lit(c).alias("l"), F.lit(d).alias("r")))
     ]
-    fix = F.coalesce(*fixes)
+    fix = F.create_map(*entries)[F.concat(F.col(left), F.lit(mark), F.col(right))]
     new = {left: F.coalesce(fix["l"], F.col(left)), right: F.coalesce(fix["r"], F.col(right))}
     return df.select(*[new[c].alias(c) if c in new else F.col(c) for c in df.columns])
 
