@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import bpe, language, quality
+from recordloom.llm import boilerplate, bpe, language, mixing, neardup, quality, sharding
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -42,6 +42,21 @@ def op1_compression_bands(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op3_lsh_forest(spark: SparkSession, folder: str) -> DataFrame:
+    """Group of near-duplicates of every document."""
+    return neardup.near_duplicates(table(spark, folder, "documents"))
+
+
+@query
+def op4_sampled_splitters(spark: SparkSession, folder: str) -> DataFrame:
+    """Shard and slot of every document, 24 shards of near equal bytes."""
+    placed = sharding.balanced_shards(table(spark, folder, "documents"), 24)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 @query
 def op5_rank_order_profiles(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every document; a fourth of the documents is held out of learning."""
@@ -54,3 +69,50 @@ def op5_rank_order_profiles(spark: SparkSession, folder: str) -> DataFrame:
 def op6_speculate_and_verify(spark: SparkSession, folder: str) -> DataFrame:
     """Token counts and digests of ids and decoded text of every document."""
     return bpe.digests(bpe.encode_decode(table(spark, folder, "documents"), bpe.default_path()))
+
+
+@query
+def op7_curriculum_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """Words the mix takes of every document, in order of first training position."""
+    mixed = mixing.curriculum(table(spark, folder, "documents"))
+    first = F.try_element_at(F.col("copies")["position"], F.lit(1))
+    return mixing.in_training_order(mixed.withColumn("position", first)).select("doc_id", "size", "source_size", "target", "taken", "position")
+
+
+LINE_SQL = r"""
+WITH seen AS (
+    SELECT page_id, html,
+           nullif(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/:?#]+)', 1), '') AS host,
+           regexp_replace(regexp_replace(regexp_replace(html,
+               '<script.*?</script>|<style.*?</style>|<head.*?</head>|<!--.*?-->', '', 'gis'),
+               '</?(p|div|li|ul|ol|h[1-6]|tr|td|table|br|nav|header|footer|article|section|blockquote)\b[^>]*>', chr(10), 'gi'),
+               '<[^>]*>', '', 'g') AS body
+    FROM pages
+), split AS (
+    SELECT page_id, host, row_number() OVER () AS id, string_split(body, chr(10)) AS lines FROM seen
+), line AS (
+    SELECT page_id, host, id, unnest(lines) AS line, generate_subscripts(lines, 1) AS n FROM split
+), bare AS (
+    SELECT *, regexp_replace(line, '^[ \t-\r]+|[ \t-\r]+$', '', 'g') AS key FROM line
+), often AS (
+    SELECT host, key FROM bare WHERE key <> '' AND host IS NOT NULL GROUP BY host, key
+    HAVING count(DISTINCT id) >= 5
+       AND count(DISTINCT id) > 0.1 * (SELECT count(*) FROM split s WHERE s.host = bare.host)
+), marked AS (
+    SELECT b.*, o.key IS NOT NULL AS gone FROM bare b LEFT JOIN often o ON b.host = o.host AND b.key = o.key
+)
+SELECT page_id, any_value(host) AS host, count(*) FILTER (key <> '') AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       md5(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT gone), '')) AS kept_md5
+FROM marked GROUP BY id, page_id
+"""
+
+
+@query(sql=LINE_SQL)
+def op8_site_relative_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page without the lines that are boilerplate on its host."""
+    pages = table(spark, folder, "pages")
+    kept = boilerplate.drop_frequent_lines(pages, boilerplate.url_host(F.col("url")), boilerplate.html_lines(F.col("html")))
+    return kept.select(
+        "page_id", F.col("_host").alias("host"), F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"),
+        F.md5(F.col("_text").cast("binary")).alias("kept_md5"),
+    )
