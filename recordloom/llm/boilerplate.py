@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: A line goes when more than this share of its host's pages hold it, and so many pages at least.
 RATIO = 0.1
-LEAST_PAGES = 5
+LEAST_PAGES = 3
 
 _UNSEEN = r"(?is)<script.*?</script>|<style.*?</style>|<head.*?</head>|<!--.*?-->"
 _BLOCK = r"(?i)</?(p|div|li|ul|ol|h[1-6]|tr|td|table|br|nav|header|footer|article|section|blockquote)\b[^>]*>"

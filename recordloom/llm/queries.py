@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import boilerplate, bpe, language, mixing, neardup, quality, sharding
+from recordloom.llm import boilerplate, bpe, language, mixing, neardup, neighbours, pii, quality, sharding
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -96,7 +96,7 @@ WITH seen AS (
     SELECT *, regexp_replace(line, '^[ \t-\r]+|[ \t-\r]+$', '', 'g') AS key FROM line
 ), often AS (
     SELECT host, key FROM bare WHERE key <> '' AND host IS NOT NULL GROUP BY host, key
-    HAVING count(DISTINCT id) >= 5
+    HAVING count(DISTINCT id) >= 3
        AND count(DISTINCT id) > 0.1 * (SELECT count(*) FROM split s WHERE s.host = bare.host)
 ), marked AS (
     SELECT b.*, o.key IS NOT NULL AS gone FROM bare b LEFT JOIN often o ON b.host = o.host AND b.key = o.key
@@ -116,3 +116,37 @@ def op8_site_relative_lines(spark: SparkSession, folder: str) -> DataFrame:
         "page_id", F.col("_host").alias("host"), F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"),
         F.md5(F.col("_text").cast("binary")).alias("kept_md5"),
     )
+
+
+NEAREST_SQL = """
+WITH valid AS (
+    SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.v, c.v) AS score
+    FROM valid q JOIN valid c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v)
+    WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored
+QUALIFY rank <= 5
+"""
+
+
+@query(sql=NEAREST_SQL)
+def op9_block_matrix_join(spark: SparkSession, folder: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth vector."""
+    vectors = table(spark, folder, "embeddings")
+    return neighbours.nearest(vectors.filter("vec_id % 50 = 0"), vectors)
+
+
+@query
+def op10_weak_supervision(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every document."""
+    found = pii.find_personal_data(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id", *[pii.n_of(kind).alias(f"n_{kind}") for kind in pii.KINDS],
+        F.sha2(pii.as_text("base").cast("binary"), 256).alias("base_sha256"), pii.as_text("spans").alias("spans"),
+    )
