@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import boilerplate, bpe, language, mixing, neardup, neighbours, pii, quality, sharding
+from recordloom.llm import boilerplate, bpe, language, mixing, neardup, neighbours, pii, quality, sharding, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -42,6 +42,18 @@ def op1_compression_bands(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op2_chain_field(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document; a fifth of the documents is held out of learning."""
+    held_out = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False))
+    docs = table(spark, folder, "documents").withColumn("held_out", held_out)
+    labels = table(spark, folder, "labels").filter(~held_out)
+    model = toxicity.learn_model(docs.filter(~F.col("held_out")), labels)
+    scored = toxicity.score_toxicity(docs, model, keep=["doc_id", "held_out"])
+    spans = F.array_join(F.transform("toxic_spans", lambda s: F.concat_ws(":", s[0], s[1])), ",")
+    return scored.select("doc_id", "held_out", "score", "predicted", spans.alias("toxic_spans"))
+
+
 @query
 def op3_lsh_forest(spark: SparkSession, folder: str) -> DataFrame:
     """Group of near-duplicates of every document."""
