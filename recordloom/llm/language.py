@@ -57,9 +57,9 @@ def document_grams(texts: Sequence[str | None], letters: _Letters) -> tuple[np.n
     Words are runs of letters in lower case with one blank on either side; an
     n-gram of one to three letters packs its code points into one number.
     """
-    joined = "\n".join((t or "").lower().replace("\n", " ") for t in texts)
+    joined = "".join("\n" + (t or "").lower().replace("\n", " ") for t in texts)
     points = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.int32)
-    owner = np.cumsum(points == 10, dtype=np.int32)
+    owner = np.cumsum(points == 10, dtype=np.int32) - 1
     letter = letters(points)
     # One blank before every word and one after it; what else stands between words goes.
     keep = letter.copy()
