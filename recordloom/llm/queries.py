@@ -122,7 +122,7 @@ FROM marked GROUP BY id, page_id
 @query(sql=LINE_SQL)
 def op8_site_relative_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Every page without the lines that are boilerplate on its host."""
-    pages = table(spark, folder, "pages")
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
     kept = boilerplate.drop_frequent_lines(pages, boilerplate.url_host(F.col("url")), boilerplate.html_lines(F.col("html")))
     return kept.select(
         "page_id", F.col("_host").alias("host"), F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"),
