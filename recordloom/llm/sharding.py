@@ -51,13 +51,14 @@ def _sample(rows: DataFrame, rate: Column, label: str) -> pd.DataFrame:
 
 
 def _with_range(rows: DataFrame, boundaries: Sequence[int]) -> DataFrame:
-    cuts = np.array(sorted(boundaries), np.int64)
+    """Number of boundaries at or below the key, by binary search in a constant array."""
+    cuts = F.split(F.lit(",".join(map(str, sorted(boundaries)))), ",").cast("array<bigint>")
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(max(1, len(boundaries)).bit_length()))])
 
-    @F.pandas_udf("int")
-    def number(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, key.to_numpy(), side="right").astype(np.int32))
+    def further(low: Column, step: Column) -> Column:
+        return F.when(F.try_element_at(cuts, low + step) <= F.col("key"), low + step).otherwise(low)
 
-    return rows.withColumn("range", number("key"))
+    return rows.withColumn("range", F.aggregate(steps, F.lit(0), further) if boundaries else F.lit(0))
 
 
 def balanced_shards(
