@@ -26,7 +26,7 @@ SPACE = 1
 KINDS = {SPACE: regex.compile(r"\s"), 2: regex.compile(r"\p{L}"), 3: regex.compile(r"\p{N}"), 4: regex.compile(r"(?s).")}
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: Words remembered by a task before it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 NEVER = np.int64(1 << 60)
 
 
@@ -341,7 +341,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, text: str = "text", keep
         codec = None
         for whole in batches:
             codec = codec or Codec(file_text.value)
-            for batch in slices(whole, "_text", 4 << 20):
+            for batch in slices(whole, "_text", 1 << 20):
                 texts = [t or "" for t in batch.column("_text").to_pylist()]
                 ids = codec.encode(texts)
                 yield pa.RecordBatch.from_arrays(
