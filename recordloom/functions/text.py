@@ -31,6 +31,12 @@ MARKED, PLAIN = _letter_table()
 
 # Letters without a decomposition and their transliteration.
 STROKED = {"Ø": "O", "ø": "o", "Ł": "L", "ł": "l", "Đ": "D", "đ": "d"}
+# Signs that keyboards and office programs put in place of ASCII ones.
+SIGNS = {
+    "\u2010": "-", "\u2011": "-", "\u2012": "-", "\u2013": "-", "\u2014": "-", "\u2015": "-", "\u2212": "-",
+    "\u2018": "'", "\u2019": "'", "\u201a": "'", "\u00b4": "'", "\u02bc": "'", "\u2032": "'",
+    "\u201c": '"', "\u201d": '"', "\u201e": '"', "\u00ab": '"', "\u00bb": '"', "\u2022": "*", "\u00b7": "*", "\u00a1": "!", "\u00bf": "?",
+}
 LIGATURES = {"ß": "ss", "ẞ": "SS", "Æ": "AE", "æ": "ae", "Œ": "OE", "œ": "oe"}
 
 
@@ -40,11 +46,12 @@ def strip_accents(text: Column) -> Column:
 
 
 def to_ascii(text: Column) -> Column:
-    """``strip_accents`` plus letters that have no decomposition."""
-    out = F.translate(text, "".join(STROKED) + MARKED, "".join(STROKED.values()) + PLAIN)
-    for letter, ascii_form in LIGATURES.items():
+    """``strip_accents`` plus letters that have no decomposition, and typographic signs; ASCII text passes untouched."""
+    single = {**STROKED, **SIGNS}
+    out = F.translate(text, "".join(single) + MARKED, "".join(single.values()) + PLAIN)
+    for letter, ascii_form in {**LIGATURES, "\u2026": "...", "\u00b0": "deg"}.items():
         out = F.replace(out, F.lit(letter), F.lit(ascii_form))
-    return out
+    return F.when(F.length(text) == F.octet_length(text), text).otherwise(out)
 
 
 def squeeze(text: Column) -> Column:

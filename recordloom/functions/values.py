@@ -13,30 +13,59 @@ from recordloom.functions.text import squeeze
 # first spares the failed parse attempts, which cost an exception each.
 DATE_FORMATS = {
     r"\d{4}-\d{2}-\d{2}": "yyyy-MM-dd",
-    r"\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}": "yyyy-MM-dd HH:mm:ss",
     r"\d{1,2}/\d{1,2}/\d{4}": "d/M/yyyy",
+    r"\d{1,2}-\d{1,2}-\d{4}": "d-M-yyyy",
     r"\d{4}/\d{2}/\d{2}": "yyyy/MM/dd",
 }
+# Month names by their first three letters.
+MONTHS = "ene feb mar abr may jun jul ago sep oct nov dic".split()
+# A time of day after the date, with or without fractions and zone.
+TIME_OF_DAY = r"[T ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?\s*(Z|[+-]\d{2}:?\d{2}|(?i:[ap]\.?\s?m\.?))?$"
+NAMED_MONTH = r"(?i)^(\d{1,2})[-/ ](?:de )?([a-z]{3})[a-z]*\.?[-/ ](?:de )?(\d{4})$"
 
 
 def to_number(value: Column, kind: str = "double") -> Column:
-    """Numeric value, null where the text is not a number."""
-    return F.trim(value.cast("string")).try_cast(kind)
+    """Numeric value, null where the text is not a number.
+
+    For whole kinds ``3.0`` is 3, as exports write whole columns with gaps; a
+    number with a fraction is null.
+    """
+    text = F.trim(value.cast("string"))
+    if kind.lower() in ("tinyint", "smallint", "int", "integer", "bigint", "long"):
+        text = F.regexp_replace(text, r"^([+-]?\d+)\.0*$", "$1")
+    return text.try_cast(kind)
 
 
 def parse_date(value: Column, formats: Mapping[str, str] = DATE_FORMATS) -> Column:
-    """Date from eight digits or the listed text forms; anything else is null."""
+    """Date from eight digits, the listed text forms or a written month; anything else is null.
+
+    The day comes before the month wherever the year is last.  A time of day is cut off.
+    """
     text = F.trim(value.cast("string"))
     forms = {r"\d{8}": "yyyyMMdd", **formats}
-    plain = F.regexp_replace(text, r"^(\d{8})\.0+$", "$1")
-    read = [F.when(plain.rlike(f"^{shape}$"), F.try_to_timestamp(plain, F.lit(form))) for shape, form in forms.items()]
-    return F.coalesce(*read).cast("date")
+    bare = F.regexp_replace(F.regexp_replace(text, r"^(\d{8})\.0+$", "$1"), TIME_OF_DAY, "")
+    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.regexp_extract(bare, NAMED_MONTH, 2)))
+    spelled = F.concat_ws("-", F.regexp_extract(bare, NAMED_MONTH, 1), month, F.regexp_extract(bare, NAMED_MONTH, 3))
+    plain = F.when(bare.rlike(NAMED_MONTH), spelled).otherwise(bare)
+
+    def read(one: Column) -> Column:
+        return F.coalesce(*[F.when(one.rlike(f"^{shape}$"), F.try_to_timestamp(one, F.lit(form))) for shape, form in forms.items()])
+
+    # A one-element array keeps the tidied text from being worked out again for every form.
+    return F.when(text.isNotNull(), F.element_at(F.transform(F.array(plain), read), 1)).cast("date")
 
 
 def year_of_source(name: Column, event_date: Column | None = None) -> Column:
-    """Last ``20dd`` in the source name, else the year of the event, else null."""
-    named = F.try_element_at(F.regexp_extract_all(name, F.lit(r"(20\d{2})"), 1), F.lit(-1))
-    year = named.try_cast("int")
+    """Last ``20dd`` in the source's file name, else in its path, else the year of the event, else null.
+
+    Names that come as addresses (``%20`` for a space) are decoded first.
+    """
+    decoded = F.coalesce(F.try_url_decode(name), name)
+
+    def last(text: Column) -> Column:
+        return F.try_element_at(F.regexp_extract_all(text, F.lit(r"(20\d{2})"), 1), F.lit(-1)).try_cast("int")
+
+    year = F.coalesce(last(F.substring_index(decoded, "/", -1)), last(decoded))
     return year if event_date is None else F.coalesce(year, F.year(event_date))
 
 

@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.functions.values import percent
 from recordloom.operators.frequency import counts, only_top, present, regroup
+from recordloom.session import settle
 
 
-def crosstab(df: DataFrame, row: str, column: str, values: Sequence[str] | None = None) -> DataFrame:
-    """Wide table of counts, zero where a pair does not occur.
+def crosstab(df: DataFrame, row: str, column: str) -> DataFrame:
+    """Wide table of counts with a column for every value that occurs, zero where a pair does not.
 
-    Name the column ``values`` when they are known: that saves a pass over the data.
+    The rows are counted once; the column names come from the settled cells.
     """
-    pivoted = present(df, row, column).groupBy(row).pivot(column, list(values) if values else None)
-    return pivoted.agg(F.count(F.lit(1))).na.fill(0)
+    cells = settle(counts(df, row, column))
+    names = [r[0] for r in cells.select(column).distinct().orderBy(column).collect()]
+    return cells.groupBy(row).pivot(column, names).agg(F.sum("n")).na.fill(0) if names else cells.select(row)
 
 
 def crosstab_margins(df: DataFrame, row: str, column: str, label: str = "All") -> DataFrame:

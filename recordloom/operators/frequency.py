@@ -75,6 +75,13 @@ def frequency_table(df: DataFrame, column: str, digits: int = 2) -> DataFrame:
     )
 
 
+def with_share(cells: DataFrame, column: str) -> DataFrame:
+    """Every value of a tally with its percent of all non-null rows."""
+    known = present(cells, column)
+    whole = total_of(known)
+    return regroup(known, column).select(column, "n", percent(F.col("n"), whole).alias("pct"))
+
+
 def top_with_share(cells: DataFrame, column: str, n: int) -> DataFrame:
     """Most frequent values of a tally with their percent of all non-null rows."""
     whole = total_of(present(cells, column))

@@ -66,10 +66,11 @@ def clean_year(df: DataFrame, offence: Column, year: Column) -> DataFrame:
         "CANTIDAD": values.to_number(F.col("CANTIDAD"), "bigint"),
     }
     cleaned = rows.withColumns({c: e for c, e in changes.items() if c in rows.columns}).dropna(subset=["MUNICIPIO"])
-    for unwanted in (fixed.UNRECORDED, fixed.BLANK_PLACES):
+    named = to_gazetteer_names(cleaned, *PLACE)
+    for unwanted in (fixed.UNRECORDED, fixed.UNREPORTED, fixed.BLANK_PLACES):
         for column in PLACE:
-            cleaned = filters.without_values(cleaned, column, unwanted)
-    return to_gazetteer_names(cleaned, *PLACE).withColumns({"TIPO_DELITO": offence, "ANIO": year})
+            named = filters.without_values(named, column, unwanted)
+    return named.withColumns({"TIPO_DELITO": offence, "ANIO": year})
 
 
 def prepare_gazetteer(raw: DataFrame, order: Column) -> DataFrame:
@@ -78,9 +79,14 @@ def prepare_gazetteer(raw: DataFrame, order: Column) -> DataFrame:
     return settle(first_per_key(named, PLACE, [order]))
 
 
-def prepare_population(raw: DataFrame, first_year: int, last_year: int) -> DataFrame:
-    """Whole-area population keyed like the records, one row per place and year."""
-    whole = raw.filter(F.upper(F.trim("AREA_GEOGRAFICA")) == fixed.WHOLE_AREA).withColumns(
+def prepare_population(raw: DataFrame, first_year: int, last_year: int, containing: bool = False) -> DataFrame:
+    """Whole-area population keyed like the records, one row per place and year.
+
+    The area must be called total; ``containing`` takes every area whose name has that word.
+    """
+    area = F.upper(F.trim("AREA_GEOGRAFICA"))
+    is_whole = F.contains(area, F.lit(fixed.WHOLE_AREA)) if containing else area == fixed.WHOLE_AREA
+    whole = raw.filter(is_whole).withColumns(
         {"ANIO": values.clean_year(F.col("ANIO")), "POBLACION_TOTAL": values.to_number(F.col("TOTAL"), "bigint")}
     )
     wanted = whole.filter(F.col("ANIO").between(first_year, last_year)).dropna(subset=["POBLACION_TOTAL"])

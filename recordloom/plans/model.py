@@ -12,10 +12,6 @@ from pyspark.sql import functions as F
 from recordloom.session import settle
 from recordloom.sources.files import table
 
-YEARS = (1995, 2001)
-OFFENCES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
-GENDERS = ("F", "O", "P")
-
 RECORDS_SQL = """records AS (
   SELECT o_orderkey AS record_id, o_custkey AS person_id, o_orderpriority AS offence, o_orderstatus AS gender,
          CAST(year(o_orderdate) AS INTEGER) AS year, o_totalprice AS amount, o_orderdate AS event_time
@@ -35,10 +31,10 @@ PLACES_SQL = """places AS (
   FROM nation JOIN region ON r_regionkey = n_regionkey)"""
 POPULATION_SQL = """population AS (
   SELECT r_name AS department, n_name AS municipality, y.year AS year,
-         people * 100 + y.year - 1995 AS population
+         people * 100 + y.year - (SELECT CAST(min(year(o_orderdate)) AS INTEGER) FROM orders) AS population
   FROM (SELECT c_nationkey, count(*) AS people FROM customer GROUP BY c_nationkey) c
   JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey
-  CROSS JOIN (SELECT CAST(unnest(generate_series(1995, 2001)) AS INTEGER) AS year) y)"""
+  CROSS JOIN (SELECT DISTINCT CAST(year(o_orderdate) AS INTEGER) AS year FROM orders) y)"""
 
 
 def records(spark: SparkSession, folder: str) -> DataFrame:
@@ -95,16 +91,17 @@ def lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def population(spark: SparkSession, folder: str) -> DataFrame:
-    """Inhabitants per place and year, counted from the customers.
+    """Inhabitants per place and year of the records, counted from the customers.
 
     One row per place and year; settled so that the planner knows it is small.
     """
+    years = [r[0] for r in records(spark, folder).select("year").distinct().orderBy("year").collect()]
     people = table(spark, folder, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("people"))
     return settle(
         people.join(places(spark, folder), F.col("c_nationkey") == F.col("cod_mpio")).select(
             F.col("dpto").alias("department"),
             F.col("nom_mpio").alias("municipality"),
-            F.explode(F.sequence(F.lit(YEARS[0]), F.lit(YEARS[1]))).alias("year"),
+            F.explode(F.array(*[F.lit(y) for y in years])).alias("year"),
             "people",
-        ).select("department", "municipality", "year", (F.col("people") * 100 + F.col("year") - YEARS[0]).alias("population"))
+        ).select("department", "municipality", "year", (F.col("people") * 100 + F.col("year") - years[0]).alias("population"))
     )

@@ -236,12 +236,11 @@ def topk_share(spark, folder):
 
 @query(
     "crosstab",
-    GAPPY_SQL
-    + """ SELECT offence, count(*) FILTER (WHERE gender = 'F') AS "F", count(*) FILTER (WHERE gender = 'O') AS "O",
-        count(*) FILTER (WHERE gender = 'P') AS "P" FROM gappy WHERE offence IS NOT NULL AND gender IS NOT NULL GROUP BY 1""",
+    GAPPY_SQL + ", known AS (SELECT offence, gender FROM gappy WHERE offence IS NOT NULL AND gender IS NOT NULL)"
+    " FROM (PIVOT known ON gender USING count(*) GROUP BY offence)",
 )
 def crosstab(spark, folder):
-    return tabs.crosstab(gappy(spark, folder), "offence", "gender", model.GENDERS)
+    return tabs.crosstab(gappy(spark, folder), "offence", "gender")
 
 
 @query(
@@ -394,7 +393,7 @@ def log10_summary(spark, folder):
 
 @query(
     "percent_share",
-    WITH_RECORDS + " SELECT gender, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 4) AS pct FROM records GROUP BY 1",
+    WITH_FACT + " SELECT municipality, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 4) AS pct FROM fact GROUP BY 1",
 )
 def percent_share(spark, folder):
-    return rounded(frequency.top_with_share(frequency.tally(model.records(spark, folder), "gender"), "gender", 20), "pct")
+    return rounded(frequency.with_share(frequency.tally(model.fact(spark, folder), "municipality"), "municipality"), "pct")

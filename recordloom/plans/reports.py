@@ -122,28 +122,29 @@ def executive_summary(spark, folder):
 @query(
     "findings",
     WITH_FACT
-    + """, y AS (SELECT year, count(*) AS n FROM fact GROUP BY 1), o AS (SELECT offence, count(*) AS n FROM fact GROUP BY 1)
+    + """, y AS (SELECT year, count(*) AS n FROM fact GROUP BY 1), o AS (SELECT offence, count(*) AS n FROM fact GROUP BY 1),
+      m AS (SELECT municipality, count(*) AS n FROM fact GROUP BY 1)
       SELECT (SELECT round((arg_max(n, year) - arg_min(n, year)) * 100.0 / arg_min(n, year), 4) FROM y) AS change_pct,
         (SELECT year FROM y ORDER BY n DESC, year LIMIT 1) AS peak_year,
         (SELECT offence FROM o ORDER BY n DESC, offence LIMIT 1) AS offence,
-        (SELECT round(sum(n) * 100.0 / (SELECT count(*) FROM fact), 4) FROM (SELECT n FROM o ORDER BY n DESC, offence LIMIT 3)) AS top3_pct,
+        (SELECT round(sum(n) * 100.0 / (SELECT count(*) FROM fact), 4) FROM (SELECT n FROM m ORDER BY n DESC, municipality LIMIT 5)) AS top5_pct,
         (SELECT department FROM fact GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS department,
         (SELECT municipality FROM fact GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS municipality,
         (SELECT weapon FROM fact GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS weapon,
         (SELECT gender FROM fact GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS gender""",
 )
 def findings(spark, folder):
-    cells = frequency.tally(model.records(spark, folder), "year", "offence")
+    cells = frequency.tally(model.fact(spark, folder), "year", "municipality")
     yearly = frequency.regroup(cells, "year")
     ends = trends.first_to_last(yearly, "year", "n").withColumn("change_pct", F.round("change_pct", 4))
     peak = frequency.extremes(yearly, "year").select("max_value").scalar()
-    share = frequency.top_share(cells, "offence", 3).select(F.round("pct", 4)).scalar()
+    share = frequency.top_share(cells, "municipality", 5).select(F.round("pct", 4)).scalar()
     leading = frequency.modes(
         model.fact(spark, folder), ["offence", "department", "municipality", "weapon", "gender"]
     ).agg(F.map_from_entries(F.collect_list(F.struct("column", "mode"))).alias("m")).scalar()
-    named = ends.select("change_pct", peak.alias("peak_year"), share.alias("top3_pct"), leading.alias("m"))
+    named = ends.select("change_pct", peak.alias("peak_year"), share.alias("top5_pct"), leading.alias("m"))
     return named.select(
-        "change_pct", "peak_year", "top3_pct",
+        "change_pct", "peak_year", "top5_pct",
         *[F.col("m")[c].alias(c) for c in ("offence", "department", "municipality", "weapon", "gender")],
     )
 

@@ -127,13 +127,10 @@ def topn_evolution(spark, folder):
 
 @query(
     "pivot_evolution",
-    WITH_RECORDS
-    + " SELECT year, "
-    + ", ".join(f"count(*) FILTER (WHERE offence = '{o}') AS \"{o}\"" for o in model.OFFENCES)
-    + " FROM records GROUP BY 1",
+    WITH_FACT + ", known AS (SELECT year, municipality FROM fact) FROM (PIVOT known ON municipality USING count(*) GROUP BY year)",
 )
 def pivot_evolution(spark, folder):
-    return crosstab(model.records(spark, folder), "year", "offence", model.OFFENCES)
+    return crosstab(model.fact(spark, folder), "year", "municipality")
 
 
 @query(

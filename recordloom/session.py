@@ -30,12 +30,10 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if not sc.master.startswith("local"):
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         named = tempfile.mkdtemp(prefix="recordloom-")
         spark.conf.set("spark.checkpoint.dir", named)
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named)
     return named
 
 

@@ -9,6 +9,7 @@ small they are and attaches them to the lines without shuffling the lines.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -26,17 +27,26 @@ def read_grid(spark: SparkSession, path: str | list[str], separator: str = ",")
     """Lines of delimited files with their place in the file.
 
     Large files are split: the start of the split and the reading order inside it
-    give the order of lines, so no file has to fit into one task.
+    give the order of lines, so no file has to fit into one task.  Both depend on
+    how a job packs its splits, so the lines are parsed and settled once: every
+    later step sees the same positions, whatever executors come or go.
+
+    A cell in quotes may hold the separator; cells are taken from left to right in
+    one pass.  Lines that are not valid UTF-8 are read as ISO-8859-1, so files of
+    either encoding may lie side by side.
     """
-    outside_quotes = rf'\Q{separator}\E(?=(?:[^"]*"[^"]*")*[^"]*$)'
-    raw = F.split("value", outside_quotes, -1)
-    return spark.read.text(path).select(
+    sign = re.escape(separator)
+    cell = rf'{sign}(\s*+"(?:[^"]++|"")*+"[^{sign}]*+|[^{sign}]*+)'
+    value = F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(F.decode(F.col("value").cast("binary"), "ISO-8859-1"))
+    raw = F.regexp_extract_all(F.concat(F.lit(separator), value), F.lit(cell), F.lit(1))
+    lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.struct(
             F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")
         ).alias("pos"),
         F.transform(raw, lambda c: F.replace(F.regexp_replace(c, '^\\s*"|"\\s*$', ""), F.lit('""'), F.lit('"'))).alias("cells"),
     )
+    return settle(lines)
 
 
 def preview(grid: DataFrame, rows: int) -> DataFrame:
