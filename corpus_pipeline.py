@@ -48,9 +48,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     # Rows that repeat an id are copies of one document, and one of them stays.
     often = settle(groups.filter("kept AND _id IS NOT NULL").groupBy("_id").count().filter("count > 1").select("_id"))
     gone = groups.filter("NOT kept").select("_id").unionByName(often).distinct()
-    same = docs["doc_id"] == F.col("_id")
-    single = docs.join(gone, same, "left_anti")
-    return single.unionByName(docs.join(often, same, "left_semi").dropDuplicates(["doc_id"]))
+    single = docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")
+    return single.unionByName(docs.join(often, docs["doc_id"] == often["_id"], "left_semi").dropDuplicates(["doc_id"]))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
