@@ -7,7 +7,9 @@ import functools
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import boilerplate, bpe, language, mixing, neardup, neighbours, pii, quality, sharding, toxicity
+from recordloom.llm import (
+    boilerplate, bpe, hardneg, infill, language, mixing, neardup, neighbours, pii, quality, sharding, tokenfile, toxicity,
+)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -162,3 +164,81 @@ def op10_weak_supervision(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", *[pii.n_of(kind).alias(f"n_{kind}") for kind in pii.KINDS],
         F.sha2(pii.as_text("base").cast("binary"), 256).alias("base_sha256"), pii.as_text("spans").alias("spans"),
     )
+
+
+@query
+def op11_ranked_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Place, length and checksum of every document's ids, as read back from token files."""
+    read = tokenfile.round_trip(table(spark, folder, "documents"), tokenfile.default_path())
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+INFILL_SQL = """
+WITH cut AS (
+    SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+           regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS tokens
+    FROM documents
+), drawn AS (
+    SELECT *, CAST(len(tokens) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+           CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4
+    FROM cut
+), parted AS (
+    SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+           CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+    FROM drawn
+), pieces AS (
+    SELECT *, array_to_string(tokens[1:a], '') AS prefix, array_to_string(tokens[a + 1:b], '') AS middle,
+           array_to_string(tokens[b + 1:], '') AS suffix
+    FROM parted
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM pieces
+"""
+
+
+@query(sql=INFILL_SQL)
+def op12_roaring_infill(spark: SparkSession, folder: str) -> DataFrame:
+    """Fill-in-the-middle form of every document, and the text rebuilt from it."""
+    made = infill.fill_in_middle(table(spark, folder, "documents"))
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"),
+        digest(infill.restored(F.col("output"), F.col("form"))).alias("restored_sha256"),
+    )
+
+
+NEGATIVE_SQL = """
+WITH valid AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_dot_product(a.v, c.v) AS BIGINT) AS score
+    FROM valid a JOIN valid c ON c.vec_id <> a.vec_id
+    WHERE a.vec_id % 100 = 0
+), positive AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM positive JOIN scored USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY rank <= 5
+"""
+
+
+@query(sql=NEGATIVE_SQL)
+def op13_segment_summaries(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of the five positives of every hundredth vector; a seventh of the labels is shifted first."""
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, folder, "embeddings").withColumn("label", shifted)
+    return hardneg.hard_negatives(rows, lambda vec_id: vec_id % 100 == 0)
