@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from recordloom.functions.fixed import CAPITAL, CAPITAL_DEPARTMENT, DEPARTMENT_KEYS, DEPARTMENT_NAMES, WEAPON_WORDS
+from recordloom.functions.fixed import (
+    CAPITAL, CAPITAL_DEPARTMENT, DEPARTMENT_KEYS, DEPARTMENT_NAMES, DEPARTMENT_TO_GAZETTEER, WEAPON_WORDS,
+)
 from recordloom.functions.text import text_key_words
 
 
@@ -19,6 +21,11 @@ def is_department(value: Column) -> Column:
     return text_key_words(value).isin(list(DEPARTMENT_KEYS))
 
 
+def is_gazetteer_department(key: Column) -> Column:
+    """Whether a key is a department as the gazetteer writes it; the capital counts in the one around it."""
+    return key.isin([DEPARTMENT_TO_GAZETTEER.get(k, k) for k in DEPARTMENT_KEYS])
+
+
 def official_department(value: Column) -> Column:
     """Official spelling of a department; unknown text stays as it is."""
     pairs = [F.lit(item) for pair in DEPARTMENT_NAMES.items() for item in pair]

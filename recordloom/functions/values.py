@@ -2,26 +2,31 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from recordloom.functions.text import squeeze
 
-# Written date forms: the shape of the text and how to read it.  Checking the shape
-# first spares the failed parse attempts, which cost an exception each.
-DATE_FORMATS = {
-    r"\d{4}-\d{2}-\d{2}": "yyyy-MM-dd",
-    r"\d{1,2}/\d{1,2}/\d{4}": "d/M/yyyy",
-    r"\d{1,2}-\d{1,2}-\d{4}": "d-M-yyyy",
-    r"\d{4}/\d{2}/\d{2}": "yyyy/MM/dd",
-}
-# Month names by their first three letters.
-MONTHS = "ene feb mar abr may jun jul ago sep oct nov dic".split()
+# Shapes of written dates, signs between the numbers left open; checking the shape first
+# spares the failed parse attempts, which cost an exception each.
+EIGHT_DIGITS = r"^\d{8}$"
+YEAR_FIRST = r"^\d{4}[-/.]\d{1,2}[-/.]\d{1,2}$"
+YEAR_LAST = r"^\d{1,2}[-/.]\d{1,2}[-/.](\d{4}|\d{2})$"
+NAMED_MONTH = r"(?i)^(\d{1,2})[-/ ](?:de )?([a-z]{3})[a-z]*\.?[-/ ](?:de )?(\d{4})$"
 # A time of day after the date, with or without fractions and zone.
 TIME_OF_DAY = r"[T ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?\s*(Z|[+-]\d{2}:?\d{2}|(?i:[ap]\.?\s?m\.?))?$"
-NAMED_MONTH = r"(?i)^(\d{1,2})[-/ ](?:de )?([a-z]{3})[a-z]*\.?[-/ ](?:de )?(\d{4})$"
+# Month names by their first three letters, and where another language differs.
+MONTHS = "ene feb mar abr may jun jul ago sep oct nov dic".split()
+OTHER_MONTHS = {"jan": "ene", "apr": "abr", "aug": "ago", "dec": "dic"}
+#: Years of two digits below this are of this century.
+CENTURY_TURN = 69
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def to_number(value: Column, kind: str = "double") -> Column:
@@ -36,23 +41,40 @@ def to_number(value: Column, kind: str = "double") -> Column:
     return text.try_cast(kind)
 
 
-def parse_date(value: Column, formats: Mapping[str, str] = DATE_FORMATS) -> Column:
-    """Date from eight digits, the listed text forms or a written month; anything else is null.
+def _year_month_day(text: Column) -> Column:
+    """A written date as ``year-month-day``; null where the text has none of the known shapes."""
+
+    def year_last(parts: Column) -> Column:
+        first, second, year = (F.get(parts, F.lit(k)) for k in range(3))
+        century = F.when(year.try_cast("int") < CENTURY_TURN, "20").otherwise("19")
+        year = F.when(F.length(year) == 2, F.concat(century, year)).otherwise(year)
+        # The day comes first, unless the second number can't be a month.
+        american = second.try_cast("int") > 12
+        return F.concat_ws("-", year, F.when(american, first).otherwise(second), F.when(american, second).otherwise(first))
 
-    The day comes before the month wherever the year is last.  A time of day is cut off.
+    def named(short: Column) -> Column:
+        month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), replace_values(short, OTHER_MONTHS))
+        return F.concat_ws("-", F.regexp_extract(text, NAMED_MONTH, 3), month, F.regexp_extract(text, NAMED_MONTH, 1))
+
+    digits = F.concat_ws("-", F.substring(text, 1, 4), F.substring(text, 5, 2), F.substring(text, 7, 2))
+    return (
+        F.when(text.rlike(EIGHT_DIGITS), digits)
+        .when(text.rlike(YEAR_FIRST), F.translate(text, "/.", "--"))
+        .when(text.rlike(YEAR_LAST), let(F.split(text, "[-/.]"), year_last))
+        .when(text.rlike(NAMED_MONTH), named(F.lower(F.regexp_extract(text, NAMED_MONTH, 2))))
+    )
+
+
+def parse_date(value: Column) -> Column:
+    """Date from eight digits, three numbers or a written month; anything else is null.
+
+    The day comes before the month wherever the year is last, unless only the other
+    reading is a date.  Years of two digits lie between 1969 and 2068.  A time of
+    day is cut off.
     """
     text = F.trim(value.cast("string"))
-    forms = {r"\d{8}": "yyyyMMdd", **formats}
     bare = F.regexp_replace(F.regexp_replace(text, r"^(\d{8})\.0+$", "$1"), TIME_OF_DAY, "")
-    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.regexp_extract(bare, NAMED_MONTH, 2)))
-    spelled = F.concat_ws("-", F.regexp_extract(bare, NAMED_MONTH, 1), month, F.regexp_extract(bare, NAMED_MONTH, 3))
-    plain = F.when(bare.rlike(NAMED_MONTH), spelled).otherwise(bare)
-
-    def read(one: Column) -> Column:
-        return F.coalesce(*[F.when(one.rlike(f"^{shape}$"), F.try_to_timestamp(one, F.lit(form))) for shape, form in forms.items()])
-
-    # A one-element array keeps the tidied text from being worked out again for every form.
-    return F.when(text.isNotNull(), F.element_at(F.transform(F.array(plain), read), 1)).cast("date")
+    return F.when(text.isNotNull(), let(bare, lambda b: F.try_to_timestamp(_year_month_day(b), F.lit("yyyy-M-d")))).cast("date")
 
 
 def year_of_source(name: Column, event_date: Column | None = None) -> Column:

@@ -104,13 +104,20 @@ def set_where(df: DataFrame, column: str, mask: Column, value: Column) -> DataFr
     return df.withColumn(column, F.when(mask, value).otherwise(F.col(column)))
 
 
-def replace_pairs(df: DataFrame, left: str, right: str, pairs: Iterable[tuple[str, str, str, str]]) -> DataFrame:
-    """Replace listed value pairs of two columns by another pair; homonyms under other keys stay."""
+def listed_pair(left: Column, right: Column, pairs: Iterable[tuple[str, str, str, str]], names: Sequence[str]) -> Column:
+    """The pair of values (a struct with these names) that replaces a listed one; null for others."""
     mark = "\u0001"
     entries = [
-        item for a, b, c, d in pairs for item in (F.lit(a + mark + b), F.struct(F.lit(c).alias("l"), F.lit(d).alias("r")))
+        item
+        for a, b, c, d in pairs
+        for item in (F.lit(a + mark + b), F.struct(F.lit(c).alias(names[0]), F.lit(d).alias(names[1])))
     ]
-    fix = F.create_map(*entries)[F.concat(F.col(left), F.lit(mark), F.col(right))]
+    return F.create_map(*entries)[F.concat(left, F.lit(mark), right)]
+
+
+def replace_pairs(df: DataFrame, left: str, right: str, pairs: Iterable[tuple[str, str, str, str]]) -> DataFrame:
+    """Replace listed value pairs of two columns by another pair; homonyms under other keys stay."""
+    fix = listed_pair(F.col(left), F.col(right), pairs, ("l", "r"))
     new = {left: F.coalesce(fix["l"], F.col(left)), right: F.coalesce(fix["r"], F.col(right))}
     return df.select(*[new[c].alias(c) if c in new else F.col(c) for c in df.columns])
 

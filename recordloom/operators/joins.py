@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from recordloom.functions.values import let
 from recordloom.operators.ranking import first_per_key
 from recordloom.session import settle
 
@@ -34,6 +35,14 @@ def attach_same(df: DataFrame, reference: DataFrame, on: Sequence[str], columns:
     return df.join(reference.select(*on, *columns), list(on), "left")
 
 
+def require_unique(reference: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``reference`` itself; raises if a key occurs twice, as a join would then double rows."""
+    twice = reference.groupBy(*keys).agg(F.count(F.lit(1)).alias("_times")).filter("_times > 1").first()
+    if twice is not None:
+        raise ValueError(f"{twice['_times']} reference rows for {tuple(twice[k] for k in keys)}")
+    return reference
+
+
 def unmatched_keys(df: DataFrame, reference: DataFrame, on: Mapping[str, str]) -> DataFrame:
     """Distinct keys of ``df`` that the reference lacks, sorted."""
     keys = df.select(*on).distinct()
@@ -78,6 +87,19 @@ def _block_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, y, x).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
+def letter_bag(text: Column) -> Column:
+    """The characters of a text, each with the number of its occurrence, so that bags meet as sets."""
+    letters = F.array_sort(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)))
+    numbered = lambda own: F.transform(own, lambda c, i: F.concat(c, (i - F.array_position(own, c)).cast("string")))
+    return let(letters, numbered)
+
+
+def most_block_ratio(a: Column, b: Column) -> Column:
+    """Upper bound of the matching-block ratio: blocks can't hold more characters than both texts have in common."""
+    common = F.size(F.array_intersect(letter_bag(a), letter_bag(b)))
+    return 2.0 * common / (F.length(a) + F.length(b))
+
+
 def _edit_budget(method: str, cutoff: float, a: Column, b: Column) -> Column:
     """Most edits two names of these lengths may differ by and still reach the cutoff."""
     base = F.greatest(a, b) if method == "edit" else a + b
@@ -136,6 +158,8 @@ def close_names(names: DataFrame, reference: DataFrame, name: str, ref: str, cut
     near = F.call_function("levenshtein", F.col("name"), F.col("match"), budget) >= 0
     joined = probes.join(segments, ["ref_len", "name_len", "part", "piece"]).filter(near)
     pairs = joined.select("name", "match").distinct()
+    if method == "blocks":  # few pairs reach Python
+        pairs = pairs.filter(most_block_ratio(F.col("name"), F.col("match")) >= cutoff - 1e-9)
     score = edit_similarity(F.col("name"), F.col("match")) if method == "edit" else _block_ratio("name", "match")
     scored = pairs.withColumn("score", score).filter(F.col("score") >= cutoff)
     best = F.min_by(F.struct("match", "score"), F.struct(-F.col("score"), F.col("match")))

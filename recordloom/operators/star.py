@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recordloom.operators.joins import require_unique
 from recordloom.session import settle
 
 
@@ -21,7 +22,8 @@ def build_star(
     """Fact with one key per dimension and the measures, and the distinct rows of each dimension.
 
     All dimensions come out of one pass over the rows as grouping sets.  They are
-    settled, so that joins back to the fact are planned by their true size.
+    settled, so that joins back to the fact are planned by their true size.  Two
+    natural keys with one hash are found out and refused.
     """
     keys = {name: natural_key(columns).alias(f"{name}_key") for name, columns in dimensions.items()}
     fact = df.select(*keys.values(), *measures)
@@ -34,7 +36,7 @@ def build_star(
     tables = {}
     for name, columns in dimensions.items():
         mark = sum(1 << (len(every) - 1 - i) for i, c in enumerate(every) if c not in columns)
-        tables[name] = sets.filter(F.col("_set") == mark).select(keys[name], *columns)
+        tables[name] = require_unique(sets.filter(F.col("_set") == mark).select(keys[name], *columns), [f"{name}_key"])
     return fact, tables
 
 

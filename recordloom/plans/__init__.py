@@ -4,7 +4,7 @@ from importlib import import_module
 
 from recordloom.plans.registry import ORACLES, QUERIES
 
-for _family in ("ingestion", "cleaning", "joining", "profiling", "association", "trending", "reports"):
+for _family in ("ingestion", "landed", "cleaning", "joining", "profiling", "association", "trending", "reports"):
     import_module(f"recordloom.plans.{_family}")
 
 __all__ = ["ORACLES", "QUERIES"]

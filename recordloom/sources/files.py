@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from recordloom.operators.conform import stack_by_name
+from recordloom.sources import landing
+
 # Declared schemas: reading needs no inference job per file.
 SCHEMAS = {
     "region": "r_regionkey int, r_name string",
@@ -35,33 +38,31 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
-def pick_encoding(spark: SparkSession, path: str, fallback: str = "ISO-8859-1") -> str:
-    """UTF-8 unless some line is not valid UTF-8; stops at the first such line."""
-    broken = spark.read.text(path).filter(~F.is_valid_utf8("value"))
-    return "UTF-8" if broken.isEmpty() else fallback
-
-
-def pick_separator(spark: SparkSession, path: str, candidates: Sequence[str] = ("\t", ",")) -> str:
-    """First candidate found in the first line, else the last candidate."""
-    line = spark.read.text(path).first()
-    return next((s for s in candidates if line and s in line[0]), candidates[-1])
-
-
 def read_csv(
-    spark: SparkSession, path: str, schema: StructType, separator: str | None = None, encoding: str | None = None
+    spark: SparkSession,
+    path: str | list[str],
+    schema: StructType,
+    separator: str | None = None,
+    encoding: str | None = None,
+    corrupt: str | None = None,
 ) -> DataFrame:
-    """Delimited files with a declared schema; separator and encoding are sniffed when not given.
+    """Delimited files with a header line and a declared schema.
 
-    Fields that do not fit the schema become null rather than failing the load.
+    Separator and encoding that are not given are told for every file by itself, so
+    one folder may hold files of several kinds; files of one kind are read together.
+    Fields that do not fit the schema become null rather than failing the load;
+    ``corrupt`` names a column that then holds the whole line.
     """
-    return spark.read.csv(
-        path,
-        schema=schema,
-        header=True,
-        mode="PERMISSIVE",
-        sep=separator or pick_separator(spark, path),
-        encoding=encoding or pick_encoding(spark, path),
-    )
+    wide = schema if corrupt is None else StructType(list(schema.fields)).add(corrupt, "string")
+    options = {"header": True, "mode": "PERMISSIVE", "schema": wide}
+    if corrupt:
+        options["columnNameOfCorruptRecord"] = corrupt
+    if separator and encoding:
+        return spark.read.csv(path, sep=separator, encoding=encoding, **options)
+    known = landing.file_settings(landing.lines_of(spark, path), (separator,) if separator else landing.SEPARATORS)
+    kinds = known.groupBy("separator", "encoding").agg(F.array_sort(F.collect_list("file")).alias("files")).orderBy("separator", "encoding")
+    found = [(k.separator, encoding or k.encoding, k.files) for k in kinds.collect()] or [(separator or ",", encoding or "UTF-8", path)]
+    return stack_by_name([spark.read.csv(of, sep=sep, encoding=enc, **options) for sep, enc, of in found])
 
 
 def read_json(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -69,9 +70,10 @@ def read_json(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def write_csv(df: DataFrame, path: str, separator: str = ",", encoding: str = "UTF-8") -> str:
-    """Delimited files with a header line; the byte-order mark some tools expect is not written."""
-    df.write.csv(path, header=True, sep=separator, encoding=encoding, mode="overwrite")
+def write_csv(df: DataFrame, path: str, separator: str = ",", encoding: str = "UTF-8", mark: bool = False) -> str:
+    """Delimited files with a header line; ``mark`` puts the byte-order mark before it that office programs expect."""
+    marked = df.toDF("\ufeff" + df.columns[0], *df.columns[1:]) if mark else df
+    marked.write.csv(path, header=True, sep=separator, encoding=encoding, mode="overwrite")
     return path
 
 
@@ -106,6 +108,39 @@ def source_list(catalogue: DataFrame, urls: str = "urls") -> DataFrame:
     return listed.withColumn("year", F.regexp_extract("edition", r"^(\d{4})", 1).try_cast("int"))
 
 
+def landed_files(spark: SparkSession, path: str) -> DataFrame:
+    """``file`` (as in the lines read from it) and ``path`` of every file below ``path``; contents are not read."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return listed.select(F.col("_metadata.file_path").alias("file"), "path")
+
+
+def plan_loads(catalogue: DataFrame, landed: DataFrame) -> DataFrame:
+    """What to load: every edition of a catalogue and every landed file with its ``status``.
+
+    ``catalogue`` comes from :func:`source_list` (``category``, ``edition``,
+    ``year``, ``url``), ``landed`` has a ``file`` per row.  They meet by the file's
+    name, decoded and in lower case.  Of several editions of one category and year
+    that have landed the last (by name) is ``planned``, the others are ``doubled``;
+    so are further files of one name, and all but the first category that claims a file.  ``missing`` editions have not landed;
+    ``extra`` files are in no catalogue.  Category and year of a file come from here.
+    """
+    name = lambda address: F.lower(landing.landed_name(address))
+    editions = catalogue.select("category", "edition", "year", name(F.col("url")).alias("name"))
+    copies = Window.partitionBy("name").orderBy("file")
+    files = landed.select("file").distinct().withColumn("name", name(F.col("file"))).withColumn("_copy", F.row_number().over(copies))
+    met = editions.join(files, "name", "full")
+    here = F.col("category").isNotNull() & F.coalesce(F.col("_copy") == 1, F.lit(False))
+    newest = Window.partitionBy("category", "year").orderBy((~here).cast("int"), F.desc("edition"))
+    place = F.when(F.col("category").isNotNull(), F.row_number().over(newest))
+    met = met.withColumn("_chosen", here & (place == 1))
+    claim = F.row_number().over(Window.partitionBy("file").orderBy((~F.col("_chosen")).cast("int"), "category"))
+    status = (
+        F.when(F.col("category").isNull(), "extra").when(F.col("file").isNull(), "missing")
+        .when(F.col("_chosen") & (claim == 1), "planned").otherwise("doubled")
+    )
+    return met.withColumn("status", status).select("name", "file", "category", "edition", "year", "status")
+
+
 def rows_per_file(df: DataFrame) -> DataFrame:
     """Row count of every source file behind a file-based frame."""
     return df.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("rows"))

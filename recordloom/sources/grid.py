@@ -9,7 +9,6 @@ small they are and attaches them to the lines without shuffling the lines.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -21,32 +20,23 @@ from recordloom.functions.text import column_key, first_full_match, header_key,
 from recordloom.functions.values import replace_values
 from recordloom.operators.ranking import top_per_group
 from recordloom.session import settle
+from recordloom.sources import landing
 
 
-def read_grid(spark: SparkSession, path: str | list[str], separator: str = ",") -> DataFrame:
-    """Lines of delimited files with their place in the file.
-
-    Large files are split: the start of the split and the reading order inside it
-    give the order of lines, so no file has to fit into one task.  Both depend on
-    how a job packs its splits, so the lines are parsed and settled once: every
-    later step sees the same positions, whatever executors come or go.
+def read_grid(
+    spark: SparkSession, path: str | list[str], separator: str | None = None, most_lines: int = landing.MOST_LINES
+) -> DataFrame:
+    """Records of delimited files with their place in the file.
 
-    A cell in quotes may hold the separator; cells are taken from left to right in
-    one pass.  Lines that are not valid UTF-8 are read as ISO-8859-1, so files of
-    either encoding may lie side by side.
+    Every file is read by its own encoding and separator (``separator`` prescribes
+    one for all), and a cell in quotes may hold the separator and line breaks.
+    Positions and cells are settled once, see :mod:`recordloom.sources.landing`.
     """
-    sign = re.escape(separator)
-    cell = rf'{sign}(\s*+"(?:[^"]++|"")*+"[^{sign}]*+|[^{sign}]*+)'
-    value = F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(F.decode(F.col("value").cast("binary"), "ISO-8859-1"))
-    raw = F.regexp_extract_all(F.concat(F.lit(separator), value), F.lit(cell), F.lit(1))
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.struct(
-            F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")
-        ).alias("pos"),
-        F.transform(raw, lambda c: F.replace(F.regexp_replace(c, '^\\s*"|"\\s*$', ""), F.lit('""'), F.lit('"'))).alias("cells"),
-    )
-    return settle(lines)
+    separators = landing.SEPARATORS if separator is None else (separator,)
+    lines = landing.raw_lines(spark, path)
+    settings = landing.file_settings(lines, separators)
+    records = landing.join_records(landing.decoded(lines, settings), most_lines, separators)
+    return settle(records.select("file", "pos", landing.cells(separators).alias("cells")))
 
 
 def preview(grid: DataFrame, rows: int) -> DataFrame:
@@ -140,22 +130,62 @@ def standard_names(cells: Column, patterns: Mapping[str, str]) -> Column:
     return F.transform(cells, lambda c: first_full_match(column_key(c), patterns))
 
 
+def _layout(headers: DataFrame, columns: Sequence[str], patterns: Mapping[str, str]) -> DataFrame:
+    """Per file the place of every standard column, of repeated names the first."""
+    names = standard_names(F.col("cells"), patterns)
+    places = [F.nullif(F.array_position("_names", F.lit(c)), F.lit(0)).cast("int").alias(f"_at_{c}") for c in columns]
+    return headers.withColumn("_names", names).select("file", F.col("cells").alias("_header"), *places)
+
+
+def _picked(columns: Sequence[str]) -> list[Column]:
+    return [F.nullif(F.trim(F.try_element_at("cells", F.col(f"_at_{c}"))), F.lit("")).alias(c) for c in columns]
+
+
 def records(grid: DataFrame, headers: DataFrame, columns: Sequence[str], patterns: Mapping[str, str]) -> DataFrame:
     """Data lines of every sheet as ``file`` plus the standard ``columns``.
 
     Each file has its own layout; of repeated names the first column counts and a
     column the file lacks is null.
     """
-    names = standard_names(F.col("cells"), patterns)
-    layout = headers.withColumn("_names", names).select(
-        "file", *[F.nullif(F.array_position("_names", F.lit(c)), F.lit(0)).cast("int").alias(f"_at_{c}") for c in columns]
-    )
     body = below(grid, headers)
-    cuts = footer_cut(body)
-    picked = [
-        F.nullif(F.trim(F.try_element_at("cells", F.col(f"_at_{c}"))), F.lit("")).alias(c) for c in columns
-    ]
-    return above_cut(body, cuts).join(layout, "file").select("file", *picked)
+    kept = above_cut(body, footer_cut(body))
+    return kept.join(_layout(headers, columns, patterns), "file").select("file", *_picked(columns))
+
+
+def line_kinds(grid: DataFrame, headers: DataFrame) -> DataFrame:
+    """The lines with their ``kind``: title, header, data, blank (below the header), footer, or no header."""
+    starts = headers.select("file", F.col("pos").alias("_start"))
+    cuts = footer_cut(below(grid, headers))
+    filled = F.exists("cells", lambda c: F.trim(c) != "")
+    kind = (
+        F.when(F.col("_start").isNull(), "no header").when(F.col("pos") < F.col("_start"), "title")
+        .when(F.col("pos") == F.col("_start"), "header").when(F.col("pos") >= F.col("cut_pos"), "footer")
+        .when(filled, "data").otherwise("blank")
+    )
+    return grid.join(starts, "file", "left").join(cuts, "file", "left").withColumn("kind", kind).drop("_start", "cut_pos")
+
+
+def raw_records(kinds: DataFrame, headers: DataFrame, columns: Sequence[str], patterns: Mapping[str, str]) -> DataFrame:
+    """Data lines as :func:`records` with their ``pos`` and ``cells``, and what may be wrong with them.
+
+    ``_again`` marks lines equal to the header, ``_beyond`` those with a value where
+    the header has no name.
+    """
+    filled = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
+    beyond = F.exists(F.zip_with("cells", "_header", lambda c, h: filled(c) & ~filled(h)), lambda x: x)
+    data = kinds.filter(F.col("kind") == "data").join(_layout(headers, columns, patterns), "file")
+    return data.select(
+        "file", "pos", "cells", *_picked(columns), (F.col("cells") == F.col("_header")).alias("_again"), beyond.alias("_beyond")
+    )
+
+
+def load_report(kinds: DataFrame, bad: DataFrame) -> DataFrame:
+    """Per file and outcome (a kind of line, good, or the reason why a row was set aside) the ``lines``: their sum is the file."""
+    of_kind = kinds.groupBy("file", F.col("kind").alias("outcome")).agg(F.count(F.lit(1)).alias("lines"))
+    aside = settle(bad.groupBy("file", F.col("reason").alias("outcome")).agg(F.count(F.lit(1)).alias("lines")))
+    less = aside.select("file", F.lit("data").alias("outcome"), (-F.col("lines")).alias("lines"))
+    summed = of_kind.unionByName(aside).unionByName(less).groupBy("file", "outcome").agg(F.sum("lines").alias("lines"))
+    return summed.withColumn("outcome", F.when(F.col("outcome") == "data", "good").otherwise(F.col("outcome")))
 
 
 def load_audit(grid: DataFrame, headers: DataFrame, loaded: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recordloom.functions import fixed, text, values
-from recordloom.functions.pvalues import beta_part, chi2_tail, gamma_tail
+from recordloom.functions.pvalues import beta_part, chi2_tail, f_upper, gamma_tail
 
 
 def results(spark, function, inputs):
@@ -51,6 +51,40 @@ def test_dates(spark):
     assert results(spark, values.parse_date, written) == [day, day, day, day, None, None, None, None, None]
 
 
+def test_date_forms(spark):
+    day = datetime.date(2021, 5, 3)
+    forms = ["3/5/21", "03.05.2021", "2021-5-3", "2021/05/03 23:10:00.5", "3 de mayo de 2021", "3-MAY-2021", "03/05/2021 11:30 PM", "2021.5.3", "20210503 10:00"]
+    assert results(spark, values.parse_date, forms) == [day] * len(forms)
+    assert results(spark, values.parse_date, ["12/31/2020 11:30 PM", "15 jan 2021", "1/2/70", "1/2/68"]) == [
+        datetime.date(2020, 12, 31), datetime.date(2021, 1, 15), datetime.date(1970, 2, 1), datetime.date(2068, 2, 1),
+    ]
+    assert results(spark, values.parse_date, ["31/31/2020", "2021-13-01", "3 xyz 2021", "1/2/345", "12:30", "99999999", "00/00/0000"]) == [None] * 7
+
+
+def test_a_value_is_worked_out_once(spark):
+    df = spark.range(3).select(values.let(F.col("id") + F.rand(3), lambda x: F.struct(x.alias("a"), x.alias("b"))).alias("s"))
+    assert all(r.s.a == r.s.b for r in df.collect())
+
+
+def test_whole_numbers_with_a_point(spark):
+    whole = lambda c: values.to_number(c, "bigint")
+    assert results(spark, whole, ["3.0", " 4 ", "-5.00", "3.5", "3.", "x", ""]) == [3, 4, -5, None, 3, None, None]
+
+
+def test_typographic_signs_and_spaces(spark):
+    assert results(spark, text.text_key, ["O’Brien – “x”…", "a b c", "N° 5", "¿qué?"]) == ["O'BRIEN - \"X\"...", "A B C", "Ndeg 5", "?QUE?"]
+
+
+def test_tails_at_large_degrees_of_freedom():
+    for dof in (2e5, 2e7, 2e9):
+        at = dof + 1.6448536269514722 * math.sqrt(2 * dof)
+        assert gamma_tail(dof / 2, at / 2) == pytest.approx(0.05, abs=5e-4)
+        assert 0.49 < gamma_tail(dof / 2, dof / 2) < 0.5
+    assert f_upper(2.2231, 5, 1000) == pytest.approx(0.05, abs=1e-4)
+    assert f_upper(2.2141, 5, 1e9) == pytest.approx(gamma_tail(2.5, 2.2141 * 2.5), rel=1e-4)
+    assert f_upper(0.0, 5, 10) == 1.0 and f_upper(1e6, 5, 1000) < 1e-100
+
+
 def test_year_of_source(spark):
     names = ["hurto_2018_2019.xlsx", "Hurto%20a%20personas2024_0.xlsx", "abigeato_6.xls", None]
     assert results(spark, lambda c: values.year_of_source(c), names) == [2019, 2024, None, None]
