@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
+from itertools import combinations, product
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,26 +14,26 @@ from recordloom.operators.ranking import average_ranks, running_total, value_cel
 from recordloom.session import settle
 
 
+def _pearson(df: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequence[str]) -> DataFrame:
+    """Correlations of the listed pairs: one aggregate row, laid out as one row per pair."""
+    every = {tuple(sorted(p)) for p in pairs}
+    value = {p: F.corr(F.col(p[0]).cast("double"), F.col(p[1]).cast("double")).alias(f"{p[0]}|{p[1]}") for p in sorted(every)}
+    row = df.groupBy(*by).agg(*value.values())
+    entries = [
+        F.struct(F.lit(a).alias("left_column"), F.lit(b).alias("right_column"), F.col("`" + "|".join(sorted((a, b))) + "`").alias("corr"))
+        for a, b in pairs
+    ]
+    return row.select(*by, F.inline(F.array(*entries)))
+
+
 def pearson(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Pearson correlation of every column pair in one pass, pairs with a null skipped."""
-    names = [f"{a}|{b}" for a, b in combinations(columns, 2)]
-    row = df.groupBy(*by).agg(
-        *[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}|{b}") for a, b in combinations(columns, 2)]
-    )
-    long = row.unpivot(list(by), names, "_pair", "corr")
-    sides = F.split("_pair", r"\|")
-    return long.select(*by, sides[0].alias("left_column"), sides[1].alias("right_column"), "corr")
+    return _pearson(df, list(combinations(columns, 2)), by)
 
 
 def pearson_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Full symmetric matrix in long form, the diagonal included."""
-    pairs = pearson(df, columns)
-    turned = pairs.select(
-        F.col("right_column").alias("left_column"), F.col("left_column").alias("right_column"), "corr"
-    )
-    own = df.agg(*[F.corr(F.col(c).cast("double"), F.col(c).cast("double")).alias(c) for c in columns])
-    diagonal = own.unpivot([], list(columns), "left_column", "corr").withColumn("right_column", F.col("left_column"))
-    return pairs.unionByName(turned).unionByName(diagonal)
+    """Full symmetric matrix in long form, the diagonal included, from one pass."""
+    return _pearson(df, list(product(columns, repeat=2)), ())
 
 
 def strongest_pairs(df: DataFrame, columns: Sequence[str], k: int = 5) -> DataFrame:

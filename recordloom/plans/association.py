@@ -94,7 +94,19 @@ def corr_kendall(spark, folder):
     return rounded(stats.kendall(holes(spark, folder), ["quantity", "discount", "tax"]), "corr", digits=8)
 
 
-@query("corr_kendall_wide")
+@query(
+    "corr_kendall_wide",
+    WITH_LINES
+    + """, c AS (SELECT quantity AS a, price AS b, count(*) AS n FROM lines GROUP BY 1, 2),
+      below AS (SELECT a, b, sum(n) OVER (PARTITION BY a ORDER BY b) AS upto FROM c),
+      met AS (SELECT c.a, c.n, s.a AS other, coalesce(below.upto, 0) AS lower
+        FROM c CROSS JOIN (SELECT DISTINCT a FROM c) s ASOF LEFT JOIN below ON below.a = s.a AND c.b > below.b),
+      t AS (SELECT CAST(sum(CASE WHEN other < a THEN n * lower END) AS DOUBLE) AS concordant, CAST(sum(CASE WHEN other > a THEN n * lower END) AS DOUBLE) AS discordant FROM met),
+      n AS (SELECT (SELECT CAST(sum(n) AS DOUBLE) * (sum(n) - 1) / 2 FROM c) AS n0,
+        (SELECT CAST(sum(m * (m - 1) / 2) AS DOUBLE) FROM (SELECT sum(n) AS m FROM c GROUP BY a)) AS na,
+        (SELECT CAST(sum(m * (m - 1) / 2) AS DOUBLE) FROM (SELECT sum(n) AS m FROM c GROUP BY b)) AS nb)
+      SELECT 'quantity' AS left_column, 'price' AS right_column, round((concordant - discordant) / (sqrt(n0 - na) * sqrt(n0 - nb)), 8) AS corr FROM t, n""",
+)
 def corr_kendall_wide(spark, folder):
     """Price has nearly as many values as rows; the pair count never meets a pair of rows."""
     return rounded(stats.kendall(model.lines(spark, folder), ["quantity", "price"]), "corr", digits=8)
@@ -162,6 +174,19 @@ def anova_oneway(spark, folder):
     return rounded(found.withColumn("significant", verdict(F.col("p_value"))), "f_statistic", "p_value", digits=6)
 
 
+@query(
+    "anova_top12",
+    WITH_FACT
+    + """, g AS (SELECT municipality, count(*) AS n, avg(amount) AS m, var_samp(amount) AS v FROM fact GROUP BY 1 ORDER BY n DESC, municipality LIMIT 12),
+      s AS (SELECT sum(n * (m - (SELECT sum(n * m) / sum(n) FROM g)) ** 2) AS b, sum((n - 1) * v) AS w, count(*) - 1 AS d1, CAST(sum(n) AS BIGINT) - count(*) AS d2 FROM g)
+      SELECT round((b / d1) / (w / d2), 6) AS f_statistic, d1 AS df_between, d2 AS df_within FROM s""",
+)
+def anova_top12(spark, folder):
+    """The twelve most frequent of twenty-five groups."""
+    found = stats.anova(model.fact(spark, folder), "municipality", "amount", top=12)
+    return rounded(found.drop("p_value"), "f_statistic", digits=6)
+
+
 @query(
     "kruskal_wallis",
     WITH_LINES
@@ -210,6 +235,24 @@ def chi2_top(spark, folder):
     return rounded(stats.chi2_independence(kept, "municipality", "weapon").select("chi2", "dof"), "chi2", digits=6)
 
 
+@query(
+    "chi2_top_both",
+    WITH_FACT
+    + """, sub AS (SELECT municipality, weapon FROM fact
+        WHERE municipality IN (SELECT municipality FROM fact GROUP BY 1 ORDER BY count(*) DESC, municipality LIMIT 10)
+        AND weapon IN (SELECT weapon FROM fact GROUP BY 1 ORDER BY count(*) DESC, weapon LIMIT 3))"""
+    + CHI2_SQL.format(a="municipality", b="weapon", t="sub")
+    + """, x AS (SELECT sum((n - e) ** 2 / e) AS chi2, (count(DISTINCT a) - 1) * (count(DISTINCT b) - 1) AS dof FROM e)
+      SELECT round(chi2, 6) AS chi2, dof, round(exp(-chi2 / 2) * list_sum(list_transform(range(9), lambda k: (chi2 / 2) ** k / factorial(k))), 6) AS p_value FROM x""",
+)
+def chi2_top_both(spark, folder):
+    """Ten values against three give eighteen degrees of freedom, whose tail is a finite sum."""
+    cells = tally(model.fact(spark, folder), "municipality", "weapon")
+    kept = only_top(only_top(cells, cells, "municipality", 10), cells, "weapon", 3)
+    found = stats.chi2_independence(kept, "municipality", "weapon")
+    return rounded(found.select("chi2", "dof", "p_value"), "chi2", "p_value", digits=6)
+
+
 @query(
     "chi2_yates",
     WITH_LINES

@@ -12,6 +12,7 @@ from recordloom.operators.frequency import counts, counts_with_nulls, only_top
 from recordloom.operators.ranking import first_per_key
 from recordloom.plans import model
 from recordloom.plans.registry import query
+from recordloom.session import settle
 from recordloom.sources.files import table
 
 WITH_FACT = "WITH " + model.FACT_SQL
@@ -149,6 +150,20 @@ def fuzzy_blocks(spark, folder):
     return found.select("name", "match", F.round("score", 6).alias("score"))
 
 
+SEGMENT_TEXT = (
+    "CASE c_custkey % 5 WHEN 0 THEN substring(c_mktsegment, 1, length(c_mktsegment) - 1) WHEN 1 THEN concat(c_mktsegment, 's') "
+    "WHEN 2 THEN concat('X', substring(c_mktsegment, 2)) WHEN 3 THEN 'unheard of' ELSE c_mktsegment END"
+)
+
+
+@query("corrected_names", "SELECT c_custkey, CASE WHEN c_custkey % 5 = 3 THEN 'unheard of' ELSE c_mktsegment END AS segment FROM customer")
+def corrected_names(spark, folder):
+    """Misspelt names take the closest known one, as told by matching blocks; unknown ones stay."""
+    known = table(spark, folder, "customer").select(F.col("c_mktsegment").alias("known")).distinct()
+    misspelt = table(spark, folder, "customer").select("c_custkey", F.expr(SEGMENT_TEXT).alias("segment"))
+    return joins.correct_names(misspelt, settle(known), {"segment": "known"}, "segment")
+
+
 @query(
     "topn_semi",
     WITH_FACT

@@ -236,8 +236,9 @@ def topk_share(spark, folder):
 
 @query(
     "crosstab",
-    GAPPY_SQL + ", known AS (SELECT offence, gender FROM gappy WHERE offence IS NOT NULL AND gender IS NOT NULL)"
-    " FROM (PIVOT known ON gender USING count(*) GROUP BY offence)",
+    GAPPY_SQL
+    + """ SELECT offence, count(*) FILTER (gender = 'F') AS "F", count(*) FILTER (gender = 'O') AS "O", count(*) FILTER (gender = 'P') AS "P"
+        FROM gappy WHERE offence IS NOT NULL AND gender IS NOT NULL GROUP BY offence""",
 )
 def crosstab(spark, folder):
     return tabs.crosstab(gappy(spark, folder), "offence", "gender")
@@ -298,9 +299,20 @@ def quantile_query(spark, folder):
     return rounded(found, "q0", "q1", "q2", "q3", "q4")
 
 
-@query("quantiles_approx")
+@query(
+    "quantiles_approx",
+    WITH_LINES
+    + ", steps AS (SELECT age_group, floor(price / 5000) * 5000 AS price, quantity FROM lines) "
+    + " UNION ALL ".join(
+        f"""SELECT age_group, '{c}' AS "column", count({c}) AS n, quantile_disc({c}, 0.25) AS q0, quantile_disc({c}, 0.5) AS q1,
+        quantile_disc({c}, 0.75) AS q2 FROM steps GROUP BY age_group"""
+        for c in ("price", "quantity")
+    ),
+)
 def quantiles_approx(spark, folder):
-    return approx_quantiles(model.lines(spark, folder), ["price", "quantity"], [0.25, 0.5, 0.75], ["age_group"])
+    """Both columns have few values, so the sketch and the exact quantile name the same one."""
+    steps = model.lines(spark, folder).withColumn("price", F.floor(F.col("price") / 5000) * 5000.0)
+    return approx_quantiles(steps, ["price", "quantity"], [0.25, 0.5, 0.75], ["age_group"])
 
 
 @query("quantile_trim", WITH_LINES + " SELECT record_id, price FROM lines WHERE price <= (SELECT quantile_cont(price, 0.95) FROM lines)")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recordloom.functions.values import percent, rate_per_100k
-from recordloom.operators import frequency, joins, ranking, star, summary, trends
+from recordloom.operators import clusters, conform, cube, filters, frequency, joins, ranking, star, summary, trends
 from recordloom.operators.frequency import counts
 from recordloom.plans import jobs, model
 from recordloom.plans.profiling import rounded
@@ -283,3 +283,39 @@ def enriched_year(spark, folder):
     done = jobs.enrich(_yearly(spark, folder), gazetteer, population, ["code"])
     shown = done.select("DEPARTAMENTO", "MUNICIPIO", "ANIO", "CANTIDAD", "code", "POBLACION_TOTAL", "TASA_DELITO_100K")
     return rounded(shown, "TASA_DELITO_100K")
+
+
+BUNDLES = {
+    "all": {}, "one year": {"year": [1996]}, "two places": {"department": ["ASIA", "EUROPE"]},
+    "all four": {"year": [1996, 1997], "department": ["ASIA", "AFRICA"], "offence": ["1-URGENT", "2-HIGH"], "gender": ["F", "O"]}, "none": {"gender": ["?"]},
+}
+
+
+def _bundle_sql(name: str, wanted: dict) -> str:
+    tests = " AND ".join(f"{c} IN ({', '.join(repr(v) for v in values)})" for c, values in wanted.items()) or "true"
+    return f"""SELECT '{name}' AS bundle, count(*) AS n, count(DISTINCT municipality) AS places, true AS near
+        FROM fact WHERE {tests}"""
+
+
+@query("filter_cube", WITH_FACT + " " + " UNION ALL ".join(_bundle_sql(k, v) for k, v in BUNDLES.items()))
+def filter_cube(spark, folder):
+    """Every filter bundle answered from one cube; distinct persons are within five percent of the exact count."""
+    rows = model.fact(spark, folder)
+    made = cube.filter_cube(rows, ["year", "department", "offence", "gender"], ["municipality", "person_id"])
+    parts = []
+    for name, wanted in BUNDLES.items():
+        chosen = filters.selection(wanted)
+        exact = rows.filter(chosen).agg(F.count_distinct("person_id").alias("persons"))
+        near = F.abs(F.col("distinct_person_id") - F.col("persons")) <= 0.05 * F.col("persons")
+        found = cube.answer(made, chosen, ["municipality", "person_id"]).join(exact)
+        parts.append(found.select(F.lit(name).alias("bundle"), "n", F.col("distinct_municipality").alias("places"), near.alias("near")))
+    return conform.stack_by_name(parts)
+
+
+@query("place_clusters")
+def place_clusters(spark, folder):
+    """Places grouped by the shares of the offences in their records."""
+    cells = frequency.tally(model.fact(spark, folder), "municipality", "offence")
+    offences = [r[0] for r in cells.select("offence").distinct().orderBy("offence").collect()]
+    points = clusters.profiles(cells, "municipality", "offence", offences)
+    return clusters.clusters(points, "municipality", 4)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from recordloom.operators import frequency, ranking, trends
+from recordloom.operators import frequency, ranking, seasonal, trends
 from recordloom.operators.crosstab import crosstab
 from recordloom.operators.frequency import counts, tally
 from recordloom.plans import model
@@ -127,7 +127,7 @@ def topn_evolution(spark, folder):
 
 @query(
     "pivot_evolution",
-    WITH_FACT + ", known AS (SELECT year, municipality FROM fact) FROM (PIVOT known ON municipality USING count(*) GROUP BY year)",
+    WITH_FACT + " SELECT year, " + ", ".join(f"count(*) FILTER (municipality = 'NATION_{k}') AS \"NATION_{k}\"" for k in range(25)) + " FROM fact GROUP BY year",
 )
 def pivot_evolution(spark, folder):
     return crosstab(model.fact(spark, folder), "year", "municipality")
@@ -155,3 +155,44 @@ def drilldown(spark, folder):
             )
         )
     return parts[0].unionByName(parts[1])
+
+
+SERIES_SQL = WITH_FACT + """, cells AS (SELECT municipality, CAST(date_trunc('month', event_time) AS DATE) AS month, count(*) AS n FROM fact
+        WHERE gender = 'P' GROUP BY ALL),
+    spans AS (SELECT municipality, min(month) AS lo, max(month) AS hi FROM cells GROUP BY 1),
+    grid AS (SELECT municipality, CAST(unnest(generate_series(lo, hi, INTERVAL 1 MONTH)) AS DATE) AS month FROM spans),
+    series AS (SELECT municipality, month, coalesce(n, 0) AS n FROM grid LEFT JOIN cells USING (municipality, month))"""
+
+
+def _rare_series(spark, folder):
+    """Monthly records of one rare kind per place: many months have none."""
+    rare = model.fact(spark, folder).filter(F.col("gender") == "P")
+    return seasonal.month_series(rare, "event_time", ["municipality"])
+
+
+@query("month_series", SERIES_SQL + " SELECT municipality, month, CAST(n AS BIGINT) AS n FROM series")
+def month_series(spark, folder):
+    return _rare_series(spark, folder)
+
+
+@query(
+    "seasonal_index",
+    SERIES_SQL
+    + """, wide AS (SELECT *, count(*) OVER w13 AS c, (sum(n) OVER w13 + sum(n) OVER w11) / 24.0::DOUBLE AS trend FROM series
+        WINDOW w13 AS (PARTITION BY municipality ORDER BY month ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING),
+          w11 AS (PARTITION BY municipality ORDER BY month ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)),
+      means AS (SELECT municipality, CAST(month(month) AS INTEGER) AS month_of_year, count(*) AS ratios, avg(n / trend) AS m FROM wide
+        WHERE c = 13 AND trend > 0 GROUP BY ALL)
+      SELECT municipality, month_of_year, ratios, round(m / nullif(avg(m) OVER (PARTITION BY municipality), 0), 8) AS seasonal_index FROM means""",
+)
+def seasonal_index(spark, folder):
+    """Ratio-to-moving-average indices on a grid without gaps."""
+    return rounded(seasonal.seasonal_index(_rare_series(spark, folder), ["municipality"]), "seasonal_index", digits=8)
+
+
+@query("monthly_forecast")
+def monthly_forecast(spark, folder):
+    """A year ahead per offence and over all places with records of the rare kind."""
+    series = seasonal.month_series(model.records(spark, folder), "event_time", ["offence"])
+    rare = _rare_series(spark, folder).withColumnRenamed("municipality", "offence")
+    return seasonal.forecast(series.unionByName(rare), ["offence"])

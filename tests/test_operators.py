@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recordloom.functions import fixed, text
-from recordloom.operators import conform, crosstab, filters, frequency, joins, ranking, star, stats, summary, trends
+from recordloom.operators import clusters, conform, crosstab, cube, filters, frequency, joins, ranking, star, stats, summary, trends
 
 
 @pytest.fixture(scope="module")
@@ -333,3 +333,67 @@ def test_star_keys_are_unique(spark):
     assert place.count() == place.select("place_key").distinct().count() == 3
     assert dims["only"].count() == 2
     assert fact.join(place, "place_key").count() == 4
+
+
+@pytest.mark.parametrize("pair", [("", "a"), ("abcd", "dcba"), ("banana", "ananas"), ("medellin", "medelin"), ("ñandú", "nandu"), ("aa", "aaaa")])
+def test_letters_bound_the_block_ratio(spark, pair):
+    df = spark.createDataFrame([pair], "a string, b string")
+    bound = df.select(joins.most_block_ratio(F.col("a"), F.col("b"))).first()[0]
+    assert bound >= difflib.SequenceMatcher(None, *pair).ratio() - 1e-12
+    both = sum(min(pair[0].count(c), pair[1].count(c)) for c in set(pair[0]))
+    assert bound == pytest.approx(2 * both / (len(pair[0]) + len(pair[1])))
+
+
+def test_doubled_reference_rows_are_refused(spark):
+    ref = spark.createDataFrame([("A", 1), ("A", 2), ("B", 1)], "k string, v int")
+    assert joins.require_unique(ref, ["k", "v"]).count() == 3
+    with pytest.raises(ValueError, match="2 reference rows"):
+        joins.require_unique(ref, ["k"])
+
+
+def test_cube_answers_filters(spark):
+    rows = [(k % 3 or None, k % 5, f"p{k % 700}") for k in range(6000)]
+    df = spark.createDataFrame(rows, "a int, b int, person string")
+    made = cube.filter_cube(df, ["a", "b"], ["person"])
+    assert made.count() == 15
+    for chosen in (F.lit(True), F.col("a") == 1, F.col("a").isNull() & (F.col("b") > 2), F.col("b") == 9):
+        exact = df.filter(chosen).agg(F.count(F.lit(1)), F.count_distinct("person")).first()
+        got = cube.answer(made, chosen, ["person"]).first()
+        assert got["n"] == exact[0] and abs(got["distinct_person"] - exact[1]) <= 0.03 * exact[1]
+    by = {r["b"]: r["n"] for r in cube.answer(made, F.lit(True), ["person"], ["b"]).collect()}
+    assert by == {b: 1200 for b in range(5)}
+
+
+def plain_clusters(points, k):
+    near = lambda v, centres: min((round(sum((a - b) ** 2 for a, b in zip(v, c)), clusters.DIGITS), j) for j, c in enumerate(centres))
+    names = sorted(points)
+    centres = [points[names[0]]]
+    while len(centres) < k:
+        gap, name = min((-near(points[n], centres)[0], n) for n in names)
+        if gap == 0:
+            break
+        centres.append(points[name])
+    for _ in range(clusters.ROUNDS):
+        own = {n: near(points[n], centres)[1] for n in names}
+        moved = []
+        for j, c in enumerate(centres):
+            mine = [points[n] for n in names if own[n] == j]
+            moved.append([round(sum(x) / len(mine), clusters.DIGITS) for x in zip(*mine)] if mine else c)
+        if moved == centres:
+            break
+        centres = moved
+    return {n: near(points[n], centres)[1] for n in names}
+
+
+def test_clusters_equal_a_plain_version(spark):
+    rng = random.Random(8)
+    cells = [(f"p{p:02d}", f, rng.randint(0, 9) + (30 if f == p % 3 else 0)) for p in range(40) for f in range(4)] + [("zero", 0, 0), (None, 1, 5)]
+    frame = spark.createDataFrame(cells, "place string, f int, n long")
+    points = clusters.profiles(frame, "place", "f", [0, 1, 2, 3])
+    got = [tuple(r) for r in clusters.clusters(points, "place", 3).orderBy("place").collect()]
+    vectors = {r["place"]: r["vector"] for r in points.collect()}
+    assert {n: c for n, c, _ in got} == plain_clusters(vectors, 3) and len(got) == 40
+    assert got == [tuple(r) for r in clusters.clusters(points.repartition(7), "place", 3).orderBy("place").collect()]
+    one = points.withColumn("vector", F.array(*[F.lit(0.25)] * 4))
+    assert {r["cluster"] for r in clusters.clusters(one, "place", 3).collect()} == {0}
+    assert clusters.clusters(points.filter("false"), "place", 3).collect() == []
