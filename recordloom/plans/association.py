@@ -243,7 +243,7 @@ def chi2_top(spark, folder):
         AND weapon IN (SELECT weapon FROM fact GROUP BY 1 ORDER BY count(*) DESC, weapon LIMIT 3))"""
     + CHI2_SQL.format(a="municipality", b="weapon", t="sub")
     + """, x AS (SELECT sum((n - e) ** 2 / e) AS chi2, (count(DISTINCT a) - 1) * (count(DISTINCT b) - 1) AS dof FROM e)
-      SELECT round(chi2, 6) AS chi2, dof, round(exp(-chi2 / 2) * list_sum(list_transform(range(9), lambda k: (chi2 / 2) ** k / factorial(k))), 6) AS p_value FROM x""",
+      SELECT round(chi2, 6) AS chi2, dof, round(exp(-chi2 / 2) * list_sum(list_transform(range(9), lambda k: (chi2 / 2) ** k / factorial(CAST(k AS INTEGER)))), 6) AS p_value FROM x""",
 )
 def chi2_top_both(spark, folder):
     """Ten values against three give eighteen degrees of freedom, whose tail is a finite sum."""
