@@ -20,10 +20,15 @@ them wherever it can write:
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+import json
+import sys
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,14 +37,42 @@ from recordloom.session import scratch_path, settle
 
 #: Ids of a block, unless one document has more.
 BLOCK = 1 << 16
-#: Words a task remembers, and the longest such in bytes.
-REMEMBERED, LONGEST = 200_000, 64
+#: Words a worker process remembers twice over, and the length of the longest.
+REMEMBERED, LONGEST = 450_000, 64
 #: Bytes of a text split at once.
 PIECE = 1 << 20
 #: Lengths of the four values behind each control byte, and the bits that a value of each length has.
-LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
+LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1).astype(np.uint8)
 MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
-DIGIT = np.array([1, 4, 16, 64])
+#: How the 49k file with word ends prepares texts, and the pieces it cuts lower-case words into.
+KNOWN_STEPS = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [
+            {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"},
+        ],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+                "behavior": "Removed",
+                "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: Printable characters that normalisation leaves alone and that are one character in lower case, none of them white space.
+PLAIN_WORD = regex.compile("[!-~\u00a1-\u012f\u0131-\u017f]+")
+#: Signs that end words; no added token and no contraction consists of these alone.
+SIGNS = b".,;:!?#$%&*"
+#: The printable stand-ins of bytes in byte-level files: those printable in Latin-1 stand for themselves, the others follow.
+_SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LETTERS = {b: chr(b) for b in _SELF} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _SELF)}
 SCHEMA = "part int, block long, first long, n long, doc_ids array<long>, ends array<long>, control binary, data binary"
 
 
@@ -53,36 +86,67 @@ def default_path() -> str:
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of unsigned 32-bit values."""
     values = np.ascontiguousarray(values, "<u4")
-    size = 1 + (values > MASKS[1]).astype(np.int64) + (values > MASKS[2]) + (values > MASKS[3])
-    codes = np.zeros(-(-len(values) // 4) * 4, np.int64)
-    codes[: len(values)] = size - 1
-    used = np.arange(4) < size[:, None]
-    return (codes.reshape(-1, 4) @ DIGIT).astype(np.uint8).tobytes(), values.view(np.uint8).reshape(-1, 4)[used].tobytes()
+    size = np.ones(-(-len(values) // 4) * 4, np.uint8)
+    for limit in MASKS[1:4]:
+        size[: len(values)] += values > limit
+    codes = (size - np.uint8(1)).reshape(-1, 4)
+    control = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
+    size = size[: len(values)]
+    width = int(size.max(initial=1))
+    used = np.arange(width, dtype=np.uint8) < size[:, None]
+    return control.astype(np.uint8).tobytes(), values.view(np.uint8).reshape(-1, 4)[:, :width][used].tobytes()
 
 
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The ``n`` values of a block."""
     size = LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:n]
-    begin = np.cumsum(size) - size
+    begin = np.cumsum(size, dtype=np.int64) - size
     padded = data + b"\0\0\0\0"
     words = np.ndarray(len(data) + 1, "<u4", padded, strides=(1,))
     return words[begin] & MASKS[size]
 
 
-class WordIds(dict):
+class Recent(dict):
+    """Values found once and remembered; of the ones remembered longest, those used since stay."""
+
+    def __init__(self, find: Callable):
+        self.find, self.older = find, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.find(key)
+        if len(key) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
+class WordIds:
     """The ids of each word as bytes, found by the tokenizer when first asked for.
 
     White space parts words for the tokenizer, and what it makes of a word does not
-    depend on its neighbours, so a word has to be encoded once only.
+    depend on its neighbours, so a word has to be encoded once only.  If the file
+    prepares texts in the way stated by ``KNOWN_STEPS``, words of plain Latin
+    letters and signs are prepared here and go to the tokenizer's model piece by
+    piece; all other words go through the whole tokenizer.
     """
 
     def __init__(self, file_text: str):
         from tokenizers import Tokenizer
 
+        spec = json.loads(file_text)
         self.tokenizer = Tokenizer.from_str(file_text)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        self.model = self.tokenizer.model
         self.type = id_type(self.tokenizer.get_vocab_size(with_added_tokens=True))
+        added = [regex.escape(t["content"]) for t in spec.get("added_tokens") or []]
+        self.special = regex.compile("|".join(added) or "(?!)").search
+        self.known_steps = {k: spec.get(k) for k in KNOWN_STEPS} == KNOWN_STEPS
+        self.words = Recent(self._word)
         for blank in " \t\n\v\f\r":
             if self.tokenizer.encode(f"x{blank}x", add_special_tokens=False).ids != 2 * self._ids("x"):
                 raise ValueError(f"the tokenizer does not drop the blank {blank!r} between words")
@@ -90,23 +154,57 @@ class WordIds(dict):
     def _ids(self, word: str) -> list[int]:
         return self.tokenizer.encode(word, add_special_tokens=False).ids
 
-    def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self._ids(word.decode(errors="replace")), self.type).tobytes()
-        if len(word) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                for old in list(self)[: REMEMBERED // 2]:
-                    del self[old]
-            self[word] = ids
-        return ids
+    def _word(self, word: bytes) -> bytes:
+        if not self.known_steps:
+            return self._packed(self._ids(word.decode(errors="replace")))
+        core = word.rstrip(SIGNS)
+        if core.isalpha():  # ASCII letters and at most one run of signs
+            low = core.lower()
+            ids = self.words.get(low) or self._packed([t.id for t in self.model.tokenize(low.decode())])
+            return ids if len(core) == len(word) else ids + self.words[word[len(core) :]]
+        text = word.decode(errors="replace")
+        if not PLAIN_WORD.fullmatch(text):
+            return self._packed(self._ids(text))
+        if text.isalpha():
+            return self._piece(text.lower())
+        if self.special(text):
+            return self._packed(self._ids(text))
+        pieces = PIECES.findall(text.lower())
+        if len(pieces) == 1:
+            return self._piece(pieces[0])
+        return b"".join([self._known_piece(p.encode(), p) for p in pieces])
+
+    def _known_piece(self, raw: bytes, piece: str) -> bytes:
+        """The ids of a piece, which may be remembered as a word."""
+        ids = self.words.get(raw)
+        return self._piece(piece) if ids is None else ids
+
+    def _piece(self, piece: str) -> bytes:
+        letters = piece if piece.isascii() else "".join(map(BYTE_LETTERS.__getitem__, piece.encode()))
+        return self._packed([t.id for t in self.model.tokenize(letters)])
+
+    def _packed(self, ids: list[int]) -> bytes:
+        packed = array("H" if self.type == "<u2" else "I", ids)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
 
     def encode(self, text: bytes) -> bytes:
         """The ids of a text, split a piece at a time so that a long one needs little memory."""
-        find = self.__getitem__
+        find = self.words.__getitem__
         if len(text) <= PIECE:
             return b"".join(map(find, text.split()))
         return b"".join(b"".join(map(find, piece.split())) for piece in _pieces(text))
 
 
+@functools.lru_cache(maxsize=1)
+def words_of(file_text: str, kind: str) -> WordIds:
+    """One memory of words for all tasks that a worker process runs."""
+    words = WordIds(file_text)
+    words.type = kind
+    return words
+
+
 def _pieces(text: bytes) -> Iterator[bytes]:
     """Parts of about ``PIECE`` bytes, cut at white space only."""
     begin = 0
@@ -125,9 +223,10 @@ def id_type(size: int) -> str:
 
 def encode_ids(
     docs: DataFrame, tokenizer_path: str, end_id: int = 1, doc_id: str = "doc_id", text: str = "text"
-) -> tuple[DataFrame, str]:
-    """``_id``, ``_row`` and ``_ids`` of every row of ``docs``, written once, and the type of the ids.
+) -> tuple[DataFrame, DataFrame, str]:
+    """``_id``, ``_row`` and ``_ids`` of every row of ``docs``; ``id`` and ``n``, how often an id occurs; the type of the ids.
 
+    Both come from one pass, written once: each task ends with a row of counts.
     ``_row`` numbers the rows, to tell those that share an id apart.  A null text
     has the end id alone.
     """
@@ -135,69 +234,65 @@ def encode_ids(
 
     with open(tokenizer_path, encoding="utf-8") as f:
         file_text = docs.sparkSession.sparkContext.broadcast(f.read())
-    kind = id_type(max(Tokenizer.from_str(file_text.value).get_vocab_size(with_added_tokens=True), end_id + 1))
+    size = max(Tokenizer.from_str(file_text.value).get_vocab_size(with_added_tokens=True), end_id + 1)
+    kind = id_type(size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = None, np.array([end_id], kind).tobytes()
+        end, seen, names = np.array([end_id], kind).tobytes(), np.zeros(size, np.int64), ["_id", "_ids", "_counts"]
         for whole in batches:
-            if words is None:
-                words = WordIds(file_text.value)
-                words.type = kind
+            words = words_of(file_text.value, kind)
             for batch in slices(whole, "_text", PIECE):
                 ids = [words.encode(t or b"") + end for t in batch.column("_text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(ids, pa.binary())], names=["_id", "_ids"])
+                seen += np.bincount(np.frombuffer(b"".join(ids), kind), minlength=size)
+                yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([seen.tobytes()], pa.binary())], names=names)
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for counts in batch.column("_counts").to_pylist():
+                n = np.frombuffer(counts, np.int64)
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at])], names=["id", "n"])
 
     narrow = docs.select(docs[doc_id].cast("long").alias("_id"), docs[text].cast("binary").alias("_text"))
-    encoded = narrow.mapInArrow(run, "_id long, _ids binary")
-    return settle(encoded.withColumn("_row", F.monotonically_increasing_id())), kind
+    done = narrow.mapInArrow(run, "_id long, _ids binary, _counts binary")
+    done = settle(done.withColumn("_row", F.monotonically_increasing_id()))
+    counts = done.filter(F.col("_counts").isNotNull()).select("_counts").mapInArrow(listed, "id long, n long")
+    return done.filter(F.col("_ids").isNotNull()).select("_id", "_row", "_ids"), counts.groupBy("id").agg(F.sum("n").alias("n")), kind
 
 
-def ranked_ids(encoded: DataFrame, kind: str) -> tuple[np.ndarray, np.ndarray]:
+def ranked_ids(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """All ids that occur, the most frequent first and the smaller of ties, and how often; no longer than the vocabulary."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(0, np.int64)
-        for batch in batches:
-            for ids in batch.column("_ids"):
-                found = np.bincount(np.frombuffer(ids.as_buffer(), kind))
-                if len(found) > len(seen):
-                    seen, found = found, seen
-                seen[: len(found)] += found
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(seen[at], pa.int64())], names=["id", "n"])
-
-    totals = encoded.select("_ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    totals = counts.toPandas()
     ids, n = totals["id"].to_numpy(np.int64), totals["n"].to_numpy(np.int64)
     order = np.lexsort((ids, -n))
     return ids[order], n[order]
 
 
+def _flat(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all rows one behind the other, and where each row ends."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    flat = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(kind) if data is not None else np.zeros(0, kind)
+    return flat, (offsets[1:] - offsets[0]) // np.dtype(kind).itemsize
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], kind: str, rank_of: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Blocks of a sorted partition."""
+    """Blocks of a sorted partition: whole documents, as many as fit ``BLOCK`` ids, at least one."""
     from pyspark import TaskContext
 
     part, block, first = TaskContext.get().partitionId(), 0, 0
-    doc_ids: list[int | None] = []
-    parts: list[np.ndarray] = []
-
-    def closed() -> pa.RecordBatch:
-        ends = np.cumsum([len(p) for p in parts])
-        control, data = pack(rank_of[np.concatenate(parts)])
-        row = [part, block, first, int(ends[-1]), doc_ids, ends.tolist(), control, data]
-        return pa.RecordBatch.from_pylist([dict(zip(BLOCK_SCHEMA.names, row))], BLOCK_SCHEMA)
-
-    held = 0
     for batch in batches:
-        for doc_id, ids in zip(batch.column("_id").to_pylist(), batch.column("_ids")):
-            ids = np.frombuffer(ids.as_buffer(), kind)
-            if held and held + len(ids) > BLOCK:
-                yield closed()
-                block, first, held, doc_ids, parts = block + 1, first + held, 0, [], []
-            doc_ids.append(doc_id)
-            parts.append(ids)
-            held += len(ids)
-    if held:
-        yield closed()
+        doc_ids, (flat, ends) = batch.column("_id"), _flat(batch.column("_ids"), kind)
+        begin = 0
+        while begin < len(ends):
+            before = int(ends[begin - 1]) if begin else 0
+            end = max(begin + 1, int(np.searchsorted(ends, before + BLOCK, side="right")))
+            n = int(ends[end - 1]) - before
+            control, data = pack(rank_of[flat[before : before + n]])
+            row = [part, block, first, n, doc_ids[begin:end].to_pylist(), (ends[begin:end] - before).tolist(), control, data]
+            yield pa.RecordBatch.from_pylist([dict(zip(BLOCK_SCHEMA.names, row))], BLOCK_SCHEMA)
+            begin, block, first = end, block + 1, first + n
 
 
 BLOCK_SCHEMA = pa.schema(
@@ -217,8 +312,8 @@ def write_token_files(
     on very many rows is spread; only token ids travel.  The rank list, at most as
     long as the vocabulary, goes through the driver.
     """
-    encoded, kind = encode_ids(docs, tokenizer_path, end_id, doc_id, text)
-    ids, n = ranked_ids(encoded, kind)
+    encoded, counts, kind = encode_ids(docs, tokenizer_path, end_id, doc_id, text)
+    ids, n = ranked_ids(counts)
     spark = docs.sparkSession
     listed = [(k, int(i), int(c)) for k, (i, c) in enumerate(zip(ids, n))]
     spark.createDataFrame(listed, "rank long, id long, n long").coalesce(1).write.parquet(f"{path}/dictionary")
