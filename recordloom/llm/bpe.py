@@ -9,9 +9,12 @@ merged step by step.
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -25,8 +28,10 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 SPACE = 1
 KINDS = {SPACE: regex.compile(r"\s"), 2: regex.compile(r"\p{L}"), 3: regex.compile(r"\p{N}"), 4: regex.compile(r"(?s).")}
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
-#: Words remembered by a task before it starts afresh.
+#: Words that a worker process remembers, twice over.
 REMEMBERED = 150_000
+#: A character that stands for no byte.
+APART = "\u0100"
 NEVER = np.int64(1 << 60)
 
 
@@ -71,14 +76,19 @@ class Codec:
         names = "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True))
         self.specials = regex.compile(f"({names})") if names else None
         self.kinds = np.zeros(0x110000, np.uint8)
+        #: Tokens of the words met lately; of those met before, the ones used since stay.
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.speculated = self.repaired = 0
         reachable = self._reachable()
-        self.proposable = {t: i for t, i in self.id_of.items() if reachable[i]}
-        #: Length of the longest token by its first four bytes; others have three at most.
-        self.reach: dict[bytes, int] = {}
-        for token in self.proposable:
-            self.reach[token[:4]] = max(len(token), self.reach.get(token[:4], 3))
+        missing = [b for b in range(256) if bytes([b]) not in self.id_of]
+        if missing:
+            raise ValueError(f"the vocabulary has no token for the bytes {missing}")
+        self.matcher = ahocorasick.Automaton()
+        for token, i in self.id_of.items():
+            if reachable[i]:
+                self.matcher.add_word(token.decode("latin-1"), i)
+        self.matcher.make_automaton()
 
     def _tables(self, size: int) -> None:
         self.size = size
@@ -189,17 +199,16 @@ class Codec:
                     heappush(heap, (rank[p], a, p))
         return [i for i in ids if i >= 0]
 
-    def propose(self, word: bytes) -> list[int]:
-        """Greedy longest match."""
-        known, reach, at, out = self.proposable, self.reach, 0, []
-        while at < len(word):
-            for size in range(min(reach.get(word[at : at + 4], 3), len(word) - at), 0, -1):
-                token = known.get(word[at : at + size])
-                if token is not None:
-                    out.append(token)
-                    at += size
-                    break
-        return out
+    def propose(self, words: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Greedy longest match of many words: token ids, and the number of each one's word.
+
+        The words are matched in one go, bytes as characters, with a sign between
+        them that no token holds; every byte is a token, so none is left out.
+        """
+        joined = APART.join([w.decode("latin-1") for w in words])
+        found = np.fromiter(chain.from_iterable(self.matcher.iter_long(joined)), np.int64).reshape(-1, 2)
+        ends = np.cumsum([len(w) + 1 for w in words])
+        return found[:, 1], np.searchsorted(ends, found[:, 0], side="right")
 
     def compatible(self, a: np.ndarray, b: np.ndarray, until: np.ndarray | None = None) -> np.ndarray:
         """Whether merging the joint bytes of each pair leaves the border alone, for many pairs at once.
@@ -229,29 +238,29 @@ class Codec:
     def learn(self, words: Sequence[str]) -> None:
         """Find and remember the tokens of words not seen yet."""
         raws = [w.encode() for w in words]
-        proposals = [self.propose(w) for w in raws]
-        flat = np.array([i for p in proposals for i in p], np.int64)
-        owner = np.repeat(np.arange(len(proposals)), [len(p) for p in proposals])
+        flat, owner = self.propose(raws)
         inner = owner[1:] == owner[:-1]
         keys = (flat[:-1] * self.size + flat[1:])[inner]
         distinct, at = np.unique(keys, return_inverse=True)
         failing = owner[1:][inner][~self.compatible(distinct // self.size, distinct % self.size)[at]]
         failing = np.unique(failing)
+        packed = flat.astype("<u4").tobytes()
+        ends = (4 * np.cumsum(np.bincount(owner, minlength=len(words)))).tolist()
+        self.words.update(zip(words, (packed[a:b] for a, b in zip([0, *ends], ends))))
         for k, ids in zip(failing, self.merge_all([raws[k] for k in failing])):
-            proposals[k] = ids
+            self.words[words[k]] = np.array(ids, "<u4").tobytes()
         self.repaired += len(failing)
         self.speculated += len(words)
-        packed = np.array([i for p in proposals for i in p], "<u4").tobytes()
-        ends = (4 * np.cumsum([len(p) for p in proposals])).tolist()
-        self.words.update(zip(words, (packed[a:b] for a, b in zip([0, *ends], ends))))
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """The ids of every text as little-endian 32-bit numbers."""
         pieces = self._pieces(texts)
         if len(self.words) > REMEMBERED:
-            self.words.clear()
-        fresh = list(set().union(*pieces) - self.words.keys() - self.added.keys()) if pieces else []
-        if fresh:
+            self.older, self.words = self.words, {}
+        unknown = set().union(*pieces) - self.words.keys() - self.added.keys()
+        known = unknown & self.older.keys()
+        self.words.update(zip(known, map(self.older.__getitem__, known)))
+        if fresh := list(unknown - known):
             self.learn(fresh)
         known = {**{t: np.array([i], "<u4").tobytes() for t, i in self.added.items()}}
         find = self.words.__getitem__
@@ -324,6 +333,12 @@ class Codec:
             return raw.decode(errors="replace").encode()
 
 
+@functools.lru_cache(maxsize=1)
+def codec_of(file_text: str) -> Codec:
+    """One codec, and one memory of words, for all tasks that a worker process runs."""
+    return Codec(file_text)
+
+
 def encode_decode(docs: DataFrame, tokenizer_path: str, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """One row per document: the ``keep`` columns, ``n_tokens``, ``ids`` and ``decoded``.
 
@@ -332,27 +347,30 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, text: str = "text", keep
     an empty decoded text.  Strings of added tokens in a text become their ids.
     Repeated rows are encoded one by one; an empty table gives an empty one.  Work
     is per row: nothing is shuffled, and each task remembers a bounded number of
-    words.
+    words.  Columns of ``keep`` may have any names; one of a name added here gives way.
     """
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    keep = [c for c in keep if c not in ("n_tokens", "ids", "decoded")]
+    hidden = {c: f"_k{k}" for k, c in enumerate(keep)}
+    fields = ", ".join(f"{h} {docs.schema[c].dataType.simpleString()}" for c, h in hidden.items())
     file_text = docs.sparkSession.sparkContext.broadcast(vocabulary_text(tokenizer_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = None
         for whole in batches:
-            codec = codec or Codec(file_text.value)
-            for batch in slices(whole, "_text", 1 << 20):
+            codec = codec_of(file_text.value)
+            for batch in slices(whole, "_text", 1 << 21):
                 texts = [t or "" for t in batch.column("_text").to_pylist()]
                 ids = codec.encode(texts)
+                decoded = [codec.decode(i) for i in ids]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(c) for c in keep]
+                    [batch.column(h) for h in hidden.values()]
                     + [pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())]
-                    + [pa.array([codec.decode(i).decode() for i in ids], pa.string())],
-                    names=[*keep, "n_tokens", "ids", "decoded"],
+                    + [pa.array(decoded, pa.binary()).view(pa.string())],
+                    names=[*hidden.values(), "n_tokens", "ids", "decoded"],
                 )
 
-    narrow = docs.select(*keep, docs[text].alias("_text"))
-    return narrow.mapInArrow(run, f"{fields}, n_tokens long, ids binary, decoded string")
+    narrow = docs.select(*[docs[c].alias(h) for c, h in hidden.items()], docs[text].alias("_text"))
+    done = narrow.mapInArrow(run, f"{fields}, n_tokens long, ids binary, decoded string")
+    return done.withColumnsRenamed({h: c for c, h in hidden.items()})
 
 
 def digests(encoded: DataFrame) -> DataFrame:
