@@ -98,15 +98,18 @@ def curriculum(
     empty texts have size 0 and no copies; null sources form one source.  Repeated
     rows stand one behind the other.  An empty table gives an empty result.
 
-    A source of any size is put in order in slices of about ``ROWS_PER_SLICE``
-    rows; one sum per slice says where the next begins.
+    Words are counted once and written with the ``keep`` columns; sums read the
+    counts alone.  A source of any size is put in order in slices of about
+    ``ROWS_PER_SLICE`` rows; one sum per slice says where the next begins.
     """
     hidden = {c: f"_k{i}" for i, c in enumerate(keep)}
-    base = docs.select(
-        *[docs[c].alias(h) for c, h in hidden.items()],
-        docs[source].alias("_source"),
-        word_count(docs[text]).alias("size"),
-        F.xxhash64(docs[keep[0]], docs[text]).alias("_order"),
+    base = settle(
+        docs.select(
+            *[docs[c].alias(h) for c, h in hidden.items()],
+            docs[source].alias("_source"),
+            word_count(docs[text]).alias("size"),
+            F.xxhash64(docs[keep[0]], docs[text]).alias("_order"),
+        )
     )
     narrow = settle(base.groupBy("_source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows")))
     slices = max(1, -(-(narrow.agg(F.sum("_rows")).first()[0] or 0) // ROWS_PER_SLICE))
@@ -139,5 +142,9 @@ def curriculum(
 
 
 def in_training_order(rows: DataFrame, position: str = "position") -> DataFrame:
-    """Rows spread and sorted by range of their position; those without one come first."""
-    return rows.repartitionByRange(position).sortWithinPartitions(position)
+    """Rows spread and sorted by range of their position; those without one come first.
+
+    Rows of one position, or of none, are spread by a hash of their first column.
+    """
+    spread = F.xxhash64(rows[rows.columns[0]])
+    return rows.repartitionByRange(rows[position], spread).sortWithinPartitions(rows[position], spread)
