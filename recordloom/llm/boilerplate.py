@@ -5,9 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recordloom.session import settle
+
 #: A line goes when more than this share of its host's pages hold it, and so many pages at least.
 RATIO = 0.1
 LEAST_PAGES = 3
+#: Copies of a host's list of frequent lines.
+COPIES = 16
+#: Columns that a page gets.
+ADDED = ("_host", "_n_lines", "_n_dropped", "_text")
 
 _UNSEEN = r"(?is)<script.*?</script>|<style.*?</style>|<head.*?</head>|<!--.*?-->"
 _BLOCK = r"(?i)</?(p|div|li|ul|ol|h[1-6]|tr|td|table|br|nav|header|footer|article|section|blockquote)\b[^>]*>"
@@ -56,20 +62,28 @@ def drop_frequent_lines(
     Lines are split at line feeds and compared without white space at their ends;
     blank ones always stay.  A null text stays null with no lines; rows without a
     host keep every line.  Repeated rows count as pages of their own.  Every page
-    stays, even if all its lines go; an empty table gives an empty one.
+    stays, even if all its lines go; an empty table gives an empty one.  Columns of
+    ``pages`` may have any names; one of a name added here gives way.
     """
-    split = pages.withColumn("_host", host).withColumn("_lines", F.split(text, "\n", -1))
+    hidden = {c: f"_c{k}" for k, c in enumerate(pages.columns) if c not in ADDED}
+    split = pages.select(
+        *[pages[c].alias(h) for c, h in hidden.items()], host.alias("_host"), F.split(text, "\n", -1).alias("_lines")
+    )
     often = frequent_lines(split.select("_host", "_lines"), "_host", "_lines", ratio, least)
-    often = often.withColumnRenamed("_host", "_of")
-    joined = split.join(often, F.col("_host") == F.col("_of"), "left").drop("_of")
+    # The list is small and copied, so that the pages of a large host meet it in many tasks.
+    copied = F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))).alias("_salt")
+    often = settle(often).select(F.col("_host").alias("_of"), "_frequent", copied)
+    salted = split.withColumn("_part", F.pmod(F.xxhash64("_lines"), F.lit(COPIES)))
+    same = (F.col("_host") == F.col("_of")) & (F.col("_part") == F.col("_salt"))
+    joined = salted.join(often, same, "left").drop("_of", "_part", "_salt")
     known = F.coalesce("_frequent", F.array().cast("array<bigint>"))
     gone = lambda line: _has_word(line) & F.array_contains(known, F.xxhash64(_bare(line)))
     stay = F.when(F.size(known) == 0, F.col("_lines")).otherwise(F.filter("_lines", lambda line: ~gone(line)))
     n_lines = F.coalesce(F.size(F.filter("_lines", lambda line: _has_word(line))), F.lit(0))
     out = joined.withColumn("_stay", stay)
-    return (
+    done = (
         out.withColumn("_n_lines", F.when(F.col("_lines").isNull(), 0).otherwise(n_lines).cast("long"))
         .withColumn("_n_dropped", F.when(F.col("_lines").isNull(), 0).otherwise(F.size("_lines") - F.size("_stay")).cast("long"))
         .withColumn("_text", F.array_join("_stay", "\n"))
-        .drop("_lines", "_stay", "_frequent")
     )
+    return done.select(*[F.col(h).alias(c) for c, h in hidden.items()], *ADDED)

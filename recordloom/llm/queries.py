@@ -105,7 +105,8 @@ WITH seen AS (
 ), split AS (
     SELECT page_id, host, row_number() OVER () AS id, string_split(body, chr(10)) AS lines FROM seen
 ), line AS (
-    SELECT page_id, host, id, unnest(lines) AS line, generate_subscripts(lines, 1) AS n FROM split
+    SELECT page_id, host, id, lines IS NULL AS absent, unnest(coalesce(lines, [NULL])) AS line,
+           generate_subscripts(coalesce(lines, [NULL]), 1) AS n FROM split
 ), bare AS (
     SELECT *, regexp_replace(line, '^[ \t-\r]+|[ \t-\r]+$', '', 'g') AS key FROM line
 ), often AS (
@@ -116,7 +117,7 @@ WITH seen AS (
     SELECT b.*, o.key IS NOT NULL AS gone FROM bare b LEFT JOIN often o ON b.host = o.host AND b.key = o.key
 )
 SELECT page_id, any_value(host) AS host, count(*) FILTER (key <> '') AS n_lines, count(*) FILTER (gone) AS n_dropped,
-       md5(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT gone), '')) AS kept_md5
+       CASE WHEN NOT bool_or(absent) THEN md5(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT gone), '')) END AS kept_md5
 FROM marked GROUP BY id, page_id
 """
 
