@@ -25,8 +25,8 @@ WITH_FACT = "WITH " + model.FACT_SQL
 HEADER = ("Departamento", "Municipio", "Arma Medio", "Fecha Hecho", "Genero", "Cantidad")
 KINDS = {0: (",", "UTF-8", ""), 1: (";", "ISO-8859-1", ""), 2: ("\t", "UTF-8", "\ufeff")}
 TITLES = 2
-#: Splits so small that quoted cells lie across their borders.
-SPLIT_BYTES = "8192"
+#: Splits so small that quoted cells lie across their borders: at least so many bytes, and at most about so many splits.
+SPLIT_BYTES, SPLITS = 8192, 128
 
 # The same expressions make the cells in Spark and in the check SQL.
 CELLS = {
@@ -70,13 +70,23 @@ def land(spark, folder: str) -> str:
     return path
 
 
+def split_bytes(spark, path: str) -> int:
+    """Size of small splits for the files below ``path``.
+
+    It grows with the files: each split is a task, and each task reports to the driver.
+    """
+    landed = files.landed_files(spark, path).agg(F.sum("length").alias("bytes")).first()
+    return max(SPLIT_BYTES, (landed["bytes"] or 0) // SPLITS)
+
+
 @contextlib.contextmanager
-def small_splits(spark, size: str = SPLIT_BYTES):
-    """Files are read in splits of this size inside."""
+def small_splits(spark, path: str):
+    """Files are read in splits small beside the files below ``path`` inside."""
     names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
     before = [spark.conf.get(n) for n in names]
+    size = split_bytes(spark, path)
     for n in names:
-        spark.conf.set(n, size)
+        spark.conf.set(n, str(size))
     try:
         yield
     finally:
@@ -103,7 +113,7 @@ def sheet_settings(spark, folder):
 def multiline_cells(spark, folder):
     """Cells with line breaks, separators and quotes come back as they were, whatever splits they cross."""
     path = land(spark, folder)
-    with small_splits(spark):
+    with small_splits(spark, path):
         lines = grid.read_grid(spark, path)
     loaded = grid.records(lines, grid.header_by_words(lines), ("departamento", "arma_medio", "genero"), fixed.COLUMN_SYNONYMS)
     kept = loaded.filter(F.col("departamento").isNotNull())
@@ -153,8 +163,9 @@ def catalogue_plan(spark, folder):
 )
 def unify_files(spark, folder):
     """The standard table out of all planned files."""
-    with small_splits(spark):
-        intake, _, _ = jobs.unify_files(spark, land(spark, folder), catalogue(spark, folder))
+    path = land(spark, folder)
+    with small_splits(spark, path):
+        intake, _, _ = jobs.unify_files(spark, path, catalogue(spark, folder))
     keys = ["departamento", "municipio", "arma_medio", "genero", "ANIO", "DELITO"]
     return intake.good.groupBy(*keys).agg(F.sum("cantidad").alias("cantidad"), F.max(values.parse_date(F.col("fecha_hecho"))).alias("last_day"))
 

@@ -109,9 +109,9 @@ def source_list(catalogue: DataFrame, urls: str = "urls") -> DataFrame:
 
 
 def landed_files(spark: SparkSession, path: str) -> DataFrame:
-    """``file`` (as in the lines read from it) and ``path`` of every file below ``path``; contents are not read."""
+    """``file`` (as in the lines read from it), ``path`` and ``length`` of every file below ``path``; contents are not read."""
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return listed.select(F.col("_metadata.file_path").alias("file"), "path")
+    return listed.select(F.col("_metadata.file_path").alias("file"), "path", "length")
 
 
 def plan_loads(catalogue: DataFrame, landed: DataFrame) -> DataFrame:
