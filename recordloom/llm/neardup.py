@@ -26,8 +26,10 @@ TREES, LEAST_DEPTH, DEPTH = 20, 3, 8
 FIRST_TREES = 4
 #: Rows of a region that all meet each other at once; larger ones are a crowd.
 REGION = 17
-#: Rows of a crowd compared in one task, prefixes tried until a region has no more, rows compared at once, values of a sketch.
-CROWD, CROWD_DEPTHS, CROWD_BLOCK, SKETCH = 4096, (3, 5, 8), 512, 1024
+#: Rows of a crowd compared in one task, and their shingles; prefixes tried until a region has no more.
+CROWD, CROWD_SHINGLES, CROWD_DEPTHS = 4096, 4_000_000, (3, 5, 8)
+#: Rows compared at once, values of a sketch.
+CROWD_BLOCK, SKETCH = 512, 1024
 #: What the similarity of two cut sketches may be below that of the sets: six standard deviations.
 CUT_SLACK = 0.08
 VALUES = TREES * LEAST_DEPTH
@@ -155,51 +157,135 @@ def region_or_crowd(rows: Sorted, fresh: int) -> np.ndarray:
     return np.concatenate([pairs, np.stack([reps, reps])], axis=1)
 
 
-def crowd_pairs(crowd: pa.Table) -> pa.Table:
-    """Pairs of different groups whose sketches are similar enough, a block against a block at a time."""
-    n, rep, group = (crowd.column(c).to_numpy() for c in ("n_shingles", "rep", "group"))
-    sketch = [np.frombuffer(e.as_buffer(), "<u4") for c in crowd.column("sketch").chunks for e in c]
-    found = [np.zeros((2, 0), np.int64)]
-
-    def compare(i: np.ndarray, j: np.ndarray) -> None:
-        if len(i) and len(j):
-            similar = _similar([sketch[k] for k in i], [sketch[k] for k in j], n[i], n[j])
-            p, q = np.nonzero(similar & (group[i][:, None] != group[j]))
-            found.append(_pairs(rep, i[p], j[q]))
+def _promising(group: np.ndarray, n: np.ndarray, sketch: list[np.ndarray], blocks: list[tuple]) -> Iterator[tuple]:
+    """Pairs of rows whose groups differ and whose sketches are similar enough, from some pairs of blocks.
 
-    names, sizes = np.unique(group, return_counts=True)
-    if len(names) > 1:
+    ``group`` is looked at anew for every pair of blocks, so that rows may be united in between.
+    """
+    for i, j in blocks:
+        names, sizes = np.unique(group[np.union1d(i, j)], return_counts=True)
         # Rows of the largest group needn't be compared with each other.
         large = group == names[sizes.argmax()]
-        blocks = np.split(np.arange(len(rep)), range(CROWD_BLOCK, len(rep), CROWD_BLOCK))
-        for k, i in enumerate(blocks):
-            for j in blocks[k:]:
-                compare(i[~large[i]], j)
-                compare(i[large[i]], j[~large[j]])
-    pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+        for left, right in ((i[~large[i]], j), (i[large[i]], j[~large[j]])):
+            if len(left) and len(right):
+                similar = _similar([sketch[k] for k in left], [sketch[k] for k in right], n[left], n[right])
+                p, q = np.nonzero(similar & (group[left][:, None] != group[right]))
+                yield left[p], right[q]
+
+
+def _blocks(places: np.ndarray) -> list[np.ndarray]:
+    return np.split(places, range(CROWD_BLOCK, len(places), CROWD_BLOCK))
+
+
+def _within(places: np.ndarray) -> list[tuple]:
+    blocks = _blocks(places)
+    return [(i, j) for k, i in enumerate(blocks) for j in blocks[k:]]
+
+
+def crowd_pairs(crowd: pa.Table) -> pa.Table:
+    """All pairs of different groups whose sketches are similar enough, a block against a block at a time."""
+    n, rep, group = (crowd.column(c).to_numpy() for c in ("n_shingles", "rep", "group"))
+    sketch = [np.frombuffer(e.as_buffer(), "<u4") for c in crowd.column("sketch").chunks for e in c]
+    found = [_pairs(rep, i, j) for i, j in _promising(group, n, sketch, _within(np.arange(len(rep))))]
+    pairs = np.unique(np.concatenate([np.zeros((2, 0), np.int64), *found], axis=1), axis=1)
     return pa.table([pa.array(c, pa.int64()) for c in pairs], names=PAIR)
 
 
-def among_crowds(nodes: DataFrame, sketches_of: DataFrame) -> DataFrame:
-    """Similar pairs of nodes in the crowded regions of all orders.
+def crowd_links(crowd: pa.Table) -> pa.Table:
+    """Links, confirmed on full sets, that connect whatever the similar pairs of a crowd connect: fewer than there are rows.
 
-    The depth of a region follows its density: the prefix grows until the rows that
-    share it are no more than ``CROWD``, the most that one task compares.  Rows of a
-    region that is larger even at the greatest depth are dealt by a hash into parts
-    of that size; pairs of these share so much that other orders bring them together.
+    Rows of one ``part`` all meet each other; rows of two meet those of the other part only.
+    Sketches, the smallest values of the sets, tell which pairs are worth a look.
+    """
+    n, rep, group, part = (crowd.column(c).to_numpy() for c in ("n_shingles", "rep", "group", "part"))
+    sets = [s.values.to_numpy().view(np.uint64) for c in crowd.column("shingles").chunks for s in c]
+    sketch = [(s[:SKETCH] >> np.uint64(32)).astype("<u4") for s in sets]
+    own = np.unique(group, return_inverse=True)[1]
+    parts = [np.flatnonzero(part == k) for k in np.unique(part)]
+    blocks = _within(parts[0]) if len(parts) == 1 else [(i, j) for i in _blocks(parts[0]) for j in _blocks(parts[1])]
+    links = [np.zeros((2, 0), np.int64)]
+    for i, j in _promising(own, n, sketch, blocks):
+        for a, b in zip(i, j):
+            if own[a] != own[b] and _linked(sets[a], sets[b]):
+                links.append(_pairs(rep, np.array([a]), np.array([b])))
+                own[own == own[b]] = own[a]
+    return pa.table([pa.array(c, pa.int64()) for c in np.concatenate(links, axis=1)], names=PAIR)
+
+
+def _linked(x: np.ndarray, y: np.ndarray) -> bool:
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= PERCENT * (len(x) + len(y) - common)
+
+
+def _in_regions(nodes: DataFrame) -> DataFrame:
+    """Nodes in every order, with prefixes ``_p`` of some depths and whether the rows that share them ``_fit`` into a task.
+
+    Rows of small regions have all met and are left out.
     """
     rows = nodes.select("rep", "n_shingles", "group", F.posexplode(_rotations(range(TREES))).alias("tree", "key"))
-    region, size = F.lit(None).cast("binary"), None
     for depth in CROWD_DEPTHS:
         rows = rows.withColumn(f"_p{depth}", F.substring("key", 1, 4 * depth))
-        size = F.count(F.lit(1)).over(Window.partitionBy("tree", *[f"_p{d}" for d in CROWD_DEPTHS if d <= depth]))
-        rows = rows.withColumn(f"_n{depth}", size)
-        region = F.coalesce(region, F.when(F.col(f"_n{depth}") <= CROWD, F.col(f"_p{depth}")))
-    last = CROWD_DEPTHS[-1]
-    part = F.pmod(F.xxhash64("rep"), F.ceil(F.col(f"_n{last}") / CROWD)).cast("string").cast("binary")
-    region = F.coalesce(region, F.concat(F.col(f"_p{last}"), part))
-    placed = rows.filter(F.col(f"_n{CROWD_DEPTHS[0]}") > REGION).select("rep", "n_shingles", "group", "tree", region.alias("region"))
-    found = placed.join(sketches_of, "rep").groupBy("tree", "region").applyInArrow(crowd_pairs, "a long, b long")
+        same = Window.partitionBy("tree", *[f"_p{d}" for d in CROWD_DEPTHS if d <= depth])
+        fits = (F.count(F.lit(1)).over(same) <= CROWD) & (F.sum("n_shingles").over(same) <= CROWD_SHINGLES)
+        rows = rows.withColumn(f"_fit{depth}", fits)
+    least = Window.partitionBy("tree", f"_p{CROWD_DEPTHS[0]}")
+    return rows.withColumn("_n", F.count(F.lit(1)).over(least)).filter(F.col("_n") > REGION).drop("key", "_n")
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Rows of regions with more than one group."""
+    same = Window.partitionBy("tree", "region")
+    several = F.min("group").over(same) != F.max("group").over(same)
+    return rows.withColumn("_several", several).filter("_several").drop("_several")
+
+
+def among_crowds(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links of nodes in the crowded regions of all orders, of regions that a task can hold.
+
+    The depth of a region follows its density: the prefix grows until the rows that
+    share it are no more than ``CROWD`` with ``CROWD_SHINGLES`` at most, which one task
+    compares.  What the deeper prefixes part meets in :func:`in_parts`.
+    """
+    region = F.coalesce(*[F.when(F.col(f"_fit{d}"), F.col(f"_p{d}")) for d in CROWD_DEPTHS])
+    rows = _in_regions(nodes).select("rep", "n_shingles", "group", "tree", region.alias("region")).filter("region IS NOT NULL")
+    placed = _mixed(rows).withColumn("part", F.lit(0).cast("long"))
+    found = placed.join(sets, "rep").groupBy("tree", "region").applyInArrow(crowd_links, "a long, b long")
+    return settle(found.distinct())
+
+
+def in_parts(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links of nodes in regions of the least depth that no task can hold: all rows of different groups meet.
+
+    The rows of a region's largest group are dealt into parts by a hash, and so are
+    the others; the others meet both, a pair of parts in a task.  So the work grows
+    with the rows where most of them are one group by now, and with the product of
+    the parts only where most differ.
+    """
+    least = CROWD_DEPTHS[0]
+    large = _in_regions(nodes).filter(~F.col(f"_fit{least}"))
+    rows = settle(_mixed(large.select("rep", "n_shingles", "group", "tree", F.col(f"_p{least}").alias("region"))))
+    sizes = rows.groupBy("tree", "region", "group").agg(F.count(F.lit(1)).alias("_rows"), F.sum("n_shingles").alias("_shingles"))
+    main = F.max_by(F.struct("group", "_rows", "_shingles"), F.struct("_rows", "group"))
+    regions = sizes.groupBy("tree", "region").agg(main.alias("_main"), F.sum("_rows").alias("_rows"), F.sum("_shingles").alias("_shingles"))
+
+    def parts(count: Column, shingles: Column) -> Column:
+        return F.greatest(F.ceil(2 * count / CROWD), F.ceil(2 * shingles / CROWD_SHINGLES), F.lit(1)).cast("long")
+
+    regions = settle(
+        regions.select(
+            "tree", "region", F.col("_main.group").alias("_group"), parts(F.col("_main._rows"), F.col("_main._shingles")).alias("_of_main"),
+            parts(F.col("_rows") - F.col("_main._rows"), F.col("_shingles") - F.col("_main._shingles")).alias("_of_others"),
+        )
+    )
+    other = F.col("group") != F.col("_group")
+    place = F.xxhash64("rep")
+    own = F.when(other, F.pmod(place, "_of_others")).otherwise(F.col("_of_others") + F.pmod(place, "_of_main"))
+    last = F.col("_of_others") + F.when(other, F.col("_of_main")).otherwise(0) - 1
+    met = rows.join(regions, ["tree", "region"]).withColumn("part", own).withColumn("_with", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    dealt = met.select(
+        "rep", "n_shingles", "group", "tree", "region", "part", F.least("part", "_with").alias("_low"), F.greatest("part", "_with").alias("_high")
+    )
+    found = dealt.join(sets, "rep").groupBy("tree", "region", "_low", "_high").applyInArrow(crowd_links, "a long, b long")
     return settle(found.distinct())
 
 
@@ -329,22 +415,6 @@ def shingle_table(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return _texts_of(docs, ends).mapInArrow(sets, "rep long, shingles array<long>")
 
 
-def smallest_values(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """``rep`` and ``sketch``: the ``SKETCH`` smallest shingles of its set, by their upper 32 bits."""
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "_text"):
-                texts = Texts(batch.column("_text"), lower=True)
-                shingles, owner = shingle_sets(texts)
-                cuts = np.searchsorted(owner, np.arange(texts.n + 1))
-                upper = (shingles >> np.uint64(32)).astype("<u4")
-                packed = [upper[a : min(b, a + SKETCH)].tobytes() for a, b in zip(cuts, cuts[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(packed, pa.binary())], names=["rep", "sketch"])
-
-    return _texts_of(docs, reps).mapInArrow(sketch, "rep long, sketch binary")
-
-
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose full sets are similar enough."""
     left = pairs.select("a", "b").join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("_x")), "a")
@@ -369,7 +439,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     of one group pass each other by from then on.  Then all rows of a small region of
     any order meet.  Rows of larger regions are a crowd, such as pages of one template
     that differ too much to link: deeper prefixes part them, and in each part they
-    are compared on their shingles in the task.
+    are compared on their shingles in the task, which gives a forest of links.  What
+    still differs in a region that was parted meets part by part, so no pair of a
+    region is left out.
     """
     narrow = docs.select(docs[doc_id].cast("long").alias("_id"), docs[text].alias("_text"))
     sketched = settle(sketches(narrow, "_id", "_text"))
@@ -379,13 +451,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     links = docs.sparkSession.createDataFrame([], "a long, b long")
     groups = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
-    def linked(pairs: DataFrame) -> None:
+    def united(found: DataFrame) -> None:
         nonlocal links, groups
-        found = settle(confirm(pairs, settle(shingle_table(narrow, pairs))))
         if not found.isEmpty():
             links = links.unionByName(found)
             groups = settle(components(links))
 
+    def linked(pairs: DataFrame) -> None:
+        united(settle(confirm(pairs, settle(shingle_table(narrow, pairs)))))
+
     def grouped(reps: DataFrame | None = None) -> DataFrame:
         some = nodes if reps is None else nodes.join(reps, "rep", "left_semi")
         return some.join(groups, F.col("rep") == F.col("node"), "left").withColumn("group", F.coalesce("component", "rep"))
@@ -393,9 +467,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     linked(in_orders(grouped(), range(FIRST_TREES), F.col("brief"), next_rows, 1))
     met = in_orders(grouped(), range(TREES), F.col("brief"), region_or_crowd, REGION)
     linked(met.filter("a < b"))
-    crowded = met.filter("a = b").select(F.col("a").alias("rep"))
+    crowded = met.filter("a = b")
     if not crowded.isEmpty():
-        linked(among_crowds(grouped(crowded), smallest_values(narrow, crowded)))
+        sets = shingle_table(narrow, crowded)
+        reps = crowded.select(F.col("a").alias("rep"))
+        united(among_crowds(grouped(reps), sets))
+        parted = settle(_in_regions(grouped(reps)).filter(~F.col(f"_fit{CROWD_DEPTHS[0]}")).select("rep").distinct())
+        if not parted.isEmpty():
+            united(in_parts(grouped(parted), sets))
     of_set = nodes.select("set_key", "rep").join(groups, F.col("rep") == F.col("node"), "left").select(
         "set_key", F.coalesce("component", "rep").alias("_component")
     )
