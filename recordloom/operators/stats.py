@@ -1,10 +1,13 @@
-"""Association statistics over distributed cells; only finished one-row results meet Python."""
+"""Association statistics over distributed cells; Python meets slices of cells in tasks, and finished one-row results."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations, product
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,43 +95,120 @@ def spearman(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> D
     return _name_pairs(sums.withColumn("corr", corr), columns, by)
 
 
+#: Cells of one slice, within which pairs are counted at once.
+SLICE = 1 << 20
+
+
+def _pairs_ahead(group: np.ndarray, y: np.ndarray, n: np.ndarray, groups: int) -> np.ndarray:
+    """Per group the weighted pairs of rows of which the later has the greater ``y``.
+
+    Two ranks differ first at exactly one binary digit: among rows that share the
+    leading digits, every row with digit one meets the running count of those with zero.
+    """
+    rank = np.unique(y, return_inverse=True)[1].astype(np.int64)
+    out, digits = np.zeros(groups), int(rank.max(initial=0)).bit_length()
+    at = (group.astype(np.int64) << digits) + rank
+    for digit in range(digits - 1, -1, -1):
+        lead = at >> (digit + 1)
+        order = np.argsort(lead, kind="stable")
+        lead, one, weight = lead[order], (at[order] >> digit & 1).astype(bool), n[order]
+        zeros = np.where(one, 0, weight)
+        before = np.cumsum(zeros) - zeros
+        first = np.flatnonzero(np.append(True, lead[1:] != lead[:-1]))
+        since = np.repeat(before[first], np.diff(np.append(first, len(lead))))
+        smaller = (before - since)[one].astype(float)
+        out += np.bincount(group[order][one], weight[one] * smaller, groups)
+    return out
+
+
+def _sliced(rows: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
+    """Slices of the order by ``x`` within ``keys``: the ``pairs`` with both greater inside each, and ``n`` per slice and ``y``.
+
+    Equal ``x`` are ordered by falling ``y``, so that no pair of them counts and a
+    value may lie in several slices.  Slices are numbered along the order.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, number, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
+
+        def slice_of(table: pa.Table) -> pa.RecordBatch:
+            codes = [table.column(k).combine_chunks().dictionary_encode().indices.to_numpy() for k in keys]
+            new = np.zeros(table.num_rows, bool)
+            new[0] = True
+            for code in codes:
+                new[1:] |= code[1:] != code[:-1]
+            group, heads = np.cumsum(new) - 1, np.flatnonzero(new)
+            value, n = table.column("y").to_numpy(), table.column("n").to_numpy()
+            pairs = _pairs_ahead(group, value, n, len(heads))
+            ranks = np.unique(value, return_inverse=True)[1]
+            order = np.lexsort((ranks, group))
+            first = np.flatnonzero(np.append(True, (np.diff(group[order]) != 0) | (np.diff(ranks[order]) != 0)))
+            some = order[first]
+            sums = np.add.reduceat(n[order], first)
+            # The pairs of a group come with the first of its values.
+            lead = np.append(True, np.diff(group[some]) != 0)
+            own = np.where(lead, pairs[group[some]], 0.0)
+            picked = table.select(list(keys)).take(pa.array(some))
+            columns = [c.combine_chunks() for c in picked.columns]
+            columns += [pa.array(np.full(len(some), base + number)), pa.array(value[some]), pa.array(sums), pa.array(own)]
+            return pa.RecordBatch.from_arrays(columns, names=[*keys, "slice", "y", "n", "pairs"])
+
+        for batch in batches:
+            held, size = [*held, batch], size + batch.num_rows
+            if size >= SLICE:
+                yield slice_of(pa.Table.from_batches(held))
+                held, size, number = [], 0, number + 1
+        if size:
+            yield slice_of(pa.Table.from_batches(held))
+
+    order = [*[F.col(k) for k in keys], F.col("x"), F.desc("y")]
+    narrow = rows.select(*keys, F.col(x).alias("x"), F.col(y).alias("y"), "n")
+    kinds = [f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys]
+    schema = ", ".join([*kinds, "slice long", f"y {rows.schema[y].dataType.simpleString()}", "n long", "pairs double"])
+    return settle(narrow.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(counted, schema))
+
+
+def _between_slices(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per ``keys`` the ``pairs`` of which ``slice`` and ``y`` are both greater; there are as many rows as pairs of slices."""
+
+    def met(table: pa.Table) -> pa.Table:
+        rows, columns = (np.unique(table.column(c).to_numpy(), return_inverse=True)[1] for c in ("slice", "y"))
+        grid = np.zeros((rows.max() + 1, columns.max() + 1))
+        np.add.at(grid, (rows, columns), table.column("n").to_numpy())
+        before = np.zeros_like(grid)
+        before[1:, 1:] = grid.cumsum(axis=0).cumsum(axis=1)[:-1, :-1]
+        picked = table.select(list(keys)).slice(0, 1)
+        return picked.append_column("pairs", pa.array([float((grid * before).sum())]))
+
+    kinds = [f"`{k}` {cells.schema[k].dataType.simpleString()}" for k in keys]
+    return cells.groupBy(*keys).applyInArrow(met, ", ".join([*kinds, "pairs double"]))
+
+
 def kendall(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Kendall tau-b of every column pair, without listing pairs of rows.
 
-    A pair of cells is concordant when ``a`` and the rank of ``b`` both grow.  Two
-    ranks differ first at exactly one binary digit, so concordant pairs are found
-    digit by digit: within rows that share the leading digits, ordered by ``a``,
-    every cell with digit one meets the running count of cells with digit zero.
+    A pair of cells is concordant when ``a`` and ``b`` both grow.  Cells are cut into
+    slices along ``a``; pairs within a slice are counted in its task.  Pairs of two
+    slices are concordant when the slice and ``b`` both grow, so the counts per slice
+    and ``b`` are cut along ``b`` in turn, and what is left is one count for each
+    slice of either kind.
     """
     keys = [*by, "_pair"]
     cells = _fewer_values_last(_pair_cells(df, columns, by))
-    lows = cells.groupBy(*keys, "b").agg(F.sum("n").alias("nb")).withColumn("_one", F.lit(1))
-    ranked = running_total(lows, "_one", [F.col("b")], keys)
-    ranked = ranked.select(
-        *keys, "b", (F.col("cum") - 1).cast("long").alias("rank_b"), F.col("total").alias("distinct_b")
-    )
-    digits = F.ceil(F.log2(F.col("distinct_b"))).cast("int")
-    spread = cells.join(ranked, [*keys, "b"]).filter(F.col("distinct_b") > 1)
-    spread = spread.withColumn("_digit", F.explode(F.sequence(F.lit(0), digits - 1)))
-    shifted = F.call_function("shiftright", F.col("rank_b"), F.col("_digit"))
-    spread = spread.withColumn("_bit", shifted.bitwiseAND(F.lit(1))).withColumn(
-        "_lead", F.call_function("shiftright", F.col("rank_b"), F.col("_digit") + 1)
-    )
-    place = [*keys, "_digit", "_lead"]
-    nodes = spread.groupBy(*place, "a").agg(
-        F.sum(F.when(F.col("_bit") == 0, F.col("n")).otherwise(0)).alias("zeros"),
-        F.sum(F.when(F.col("_bit") == 1, F.col("n")).otherwise(0)).alias("ones"),
-    )
-    met = running_total(nodes, "zeros", [F.col("a")], place)
-    smaller = (F.col("cum") - F.col("zeros")).cast("double")
-    concordant = met.groupBy(*keys).agg(F.sum(F.col("ones") * smaller).alias("concordant"))
+    along_a = _sliced(cells, keys, "a", "b")
+    along_b = _sliced(along_a, keys, "y", "slice")
+    found = [f.select(*keys, "pairs") for f in (along_a, along_b, _between_slices(along_b, keys))]
+    concordant = found[0].unionByName(found[1]).unionByName(found[2]).groupBy(*keys).agg(F.sum("pairs").alias("concordant"))
+
+    def ties(frame: DataFrame, size: str, name: str) -> DataFrame:
+        n = F.col(size).cast("double")
+        return frame.groupBy(*keys).agg(F.sum(n * (n - 1) / 2).alias(name))
 
     def tied(frame: DataFrame, *columns: str) -> DataFrame:
-        size = F.col("_n").cast("double")
-        sizes = frame.groupBy(*keys, *columns).agg(F.sum("n").alias("_n"))
-        return sizes.groupBy(*keys).agg(F.sum(size * (size - 1) / 2).alias("ties_" + "".join(columns)))
+        return ties(frame.groupBy(*keys, *columns).agg(F.sum("n").alias("_n")), "_n", "ties_" + "".join(columns))
 
-    sums = tied(cells).join(tied(cells, "a"), keys).join(tied(cells, "b"), keys).join(tied(cells, "a", "b"), keys)
+    per_b = along_a.select(*keys, F.col("y").alias("b"), "n")
+    sums = tied(per_b).join(tied(cells, "a"), keys).join(tied(per_b, "b"), keys).join(ties(cells, "n", "ties_ab"), keys)
     sums = sums.join(concordant, keys, "left").withColumn("concordant", F.coalesce("concordant", F.lit(0.0)))
     untied = F.col("ties_") - F.col("ties_a") - F.col("ties_b") + F.col("ties_ab")
     scale = F.sqrt(F.col("ties_") - F.col("ties_a")) * F.sqrt(F.col("ties_") - F.col("ties_b"))
